@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import ann, matroska, mixing, packing, pii, quality, secrets, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.grades(_table(spark, sf_dir, "labels")))
+    return quality.score(docs, model)
+
+
+def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_pii_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(_table(spark, sf_dir, "documents"))
+
+
 def op5_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
@@ -25,12 +40,38 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, books = ann.build_index(_table(spark, sf_dir, "embeddings"))
+    return ann.search(index, books, F.col("vec_id") % 20 == 0)
+
+
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.text_media(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, toxicity.categories(_table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, chain)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op2_quality_ordinal,
+        op3_pack_best_fit,
+        op4_pii_deobfuscated,
         op5_shard_lpt,
         op6_simhash_near_dedup,
+        op7_secret_scan,
+        op8_additive_quantisation,
+        op9_matroska,
+        op10_toxicity_chain,
     )
 }
 
