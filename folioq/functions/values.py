@@ -229,7 +229,8 @@ def less(a: Val, b: Val, or_equal: bool = False) -> Column:
         elif a.known_not_null:
             core = core & ~ny
         else:
-            core = F.when(nx, F.lit(True) if or_equal else ~ny).when(ny, F.lit(False)).otherwise(core)
+            ranked = F.when(nx, F.lit(True) if or_equal else ~ny).when(ny, F.lit(False)).otherwise(core)
+            core = F.when(a.col.isNotNull() & b.col.isNotNull(), ranked)
     if b.known_not_null:
         return a.col.isNull() | core
     if a.known_not_null:
