@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 from .components import components
 
 #: Fixed by the ring: segment widths, and the differing bits allowed after l segments of a chain.
@@ -104,8 +104,9 @@ class Sketch:
         return int(bits * p + self.slack * (bits * p * (1 - p)) ** 0.5)
 
 
-def sketches(docs: DataFrame, sketch: Sketch, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, w (candidate fingerprints) and s (shingle fingerprints), arrays of `lanes` longs each."""
+def sketches(docs: DataFrame, sketch: Sketch, keys: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, w (candidate fingerprints) and s (shingle fingerprints), arrays of `lanes` longs each, of `docs` (doc_id, text);
+    `keys` are columns (k, z) to go along."""
 
     def one(t: str | None) -> tuple[list[int], list[int]]:
         words = words_of(t)
@@ -119,10 +120,11 @@ def sketches(docs: DataFrame, sketch: Sketch, *, text: str = "text", doc_id: str
         for b in batches:
             out = [one(t.as_py()) for t in b.column(1)]
             cols = [pa.array([x[i] for x in out], kind) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "w", "s"])
+            names = ["doc_id", *b.schema.names[2:], "w", "s"]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *cols], names)
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, w array<long>, s array<long>")
+    also = "k long, z boolean, " if keys else ""
+    return docs.select("doc_id", "text", *keys).mapInArrow(run, f"doc_id long, {also}w array<long>, s array<long>")
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -252,19 +254,47 @@ def _component_ids(reps: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(out.select("id", F.coalesce("least", "rep").alias("component_id")))
 
 
-def near_groups(docs: DataFrame, sketch: Sketch = Sketch(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and component_id, by `sketch`; nulls, ties, repeated rows and empty tables as for near_duplicates."""
-    slim = sketches(docs, sketch, text=text, doc_id=doc_id)
+def _marked(docs: DataFrame, sketch: Sketch, text: str, doc_id: str) -> DataFrame:
+    """For every row: doc_id, its key (k, z) and the least key of its group (ck, cz). The key is the id, and z false; without an
+    id it is a hash of the text, and z true, so that such rows come after all others."""
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    k, z = row_key("doc_id", "text")
+    slim = sketches(src, sketch, keys=(k.alias("k"), z.alias("z")))
     slim = materialize(slim.withColumn("id", F.xxhash64("w", "s")))
-    reps = materialize(slim.groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("w").alias("w"), F.first("s").alias("s")))
+    rep = F.min(F.struct("z", "k")).alias("rep")
+    reps = materialize(slim.groupBy("id").agg(rep, F.first("w").alias("w"), F.first("s").alias("s")))
     found = components(links(reps.select("id", "w", "s"), sketch.lanes, sketch.most_bits()))
-    return slim.select("doc_id", "id").join(_component_ids(reps.select("id", "rep"), found), "id").select("doc_id", "component_id")
+    named = _component_ids(reps.select("id", "rep"), found)
+    out = slim.select("doc_id", "k", "z", "id").join(named, "id")
+    return out.select("doc_id", "k", "z", F.col("component_id.k").alias("ck"), F.col("component_id.z").alias("cz"))
+
+
+def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text))), F.col(doc_id).isNull()
+
+
+def near_groups(docs: DataFrame, sketch: Sketch = Sketch(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and component_id, by `sketch`; nulls, ties, repeated rows and empty tables as for near_duplicates."""
+    marked = _marked(docs, sketch, text, doc_id)
+    return marked.select("doc_id", F.when(~F.col("cz"), F.col("ck")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, sketch: Sketch = Sketch(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with one row of each group: that with the least doc_id. Of rows with that same id, and of groups
-    in which all ids are null, one row stays too; documents without words form one group."""
-    groups = near_groups(docs, sketch, text=text, doc_id=doc_id)
-    firsts = groups.where("component_id IS NOT NULL").select(F.col("component_id").alias("__first")).distinct()
-    kept = docs.join(firsts, F.col(doc_id) == F.col("__first"), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """`docs` with one row of each group: that with the least doc_id, or if all its ids are null that with the least hash
+    of its text. Of rows with one id, one stays; documents without words form one group.
+
+    Only keys are shuffled: the rows that go are few beside those that stay, and are broadcast if a count shows that they fit. Beyond that the
+    texts are shuffled once, by key.
+    """
+    marked = _marked(docs, sketch, text, doc_id)
+    first = (F.col("k") == F.col("ck")) & (F.col("z") == F.col("cz"))
+    keys = materialize(marked.groupBy("k", "z").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("n")))
+    key = lambda df: df.select(F.col("k").alias("__k"), F.col("z").alias("__z"))
+    again = key(keys.where("first AND n > 1"))
+    k, z = row_key(doc_id, text)
+    here = (k == F.col("__k")) & (z == F.col("__z"))
+    out = docs.join(broadcast_if_small(key(keys.where("NOT first OR n > 1"))), here, "left_anti")
+    if again.isEmpty():
+        return out
+    some = docs.withColumns({"__rk": k, "__rz": z}).join(broadcast_if_small(again), here, "left_semi")
+    return out.unionAll(some.dropDuplicates(["__rk", "__rz"]).drop("__rk", "__rz"))
