@@ -56,7 +56,7 @@ def _block(track: int, relative: int, frames: list[bytes], lacing: str) -> bytes
     head += bytes([len(frames) - 1])
     if lacing == "xiph":
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == "ebml":
+    elif lacing == "ebml" and len(frames) > 1:
         head += vint(sizes[0])
         for a, b in zip(sizes, sizes[1:-1]):
             d = b - a
