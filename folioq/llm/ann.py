@@ -20,13 +20,13 @@ class AnnSpec:
     encoding. In each block of about block_rows rows, the `rerank` best by table (and all that tie with the last) are scored exactly.
     query_rows bounds the queries that are broadcast together."""
 
-    books: int = 8
-    words: int = 128
+    books: int = 24
+    words: int = 256
     sample_rows: int = 8192
-    rounds: int = 8
-    beam: int = 4
+    rounds: int = 5
+    beam: int = 2
     k: int = 20
-    rerank: int = 200
+    rerank: int = 1000
     block_rows: int = 32_768
     query_rows: int = 8192
 
