@@ -32,7 +32,7 @@ class ChainSpec:
     rate: float = 0.4
     l2: float = 2e-5
     threshold: float = 0.5
-    features: Features = field(default_factory=lambda: Features(bits=19, prefixes=(4, 5, 6), shapes=False, repeats=False))
+    features: Features = field(default_factory=lambda: Features(bits=19, prefixes=(4, 5, 6), shapes=True, repeats=True))
 
 
 @dataclass(frozen=True)
