@@ -150,10 +150,10 @@ def search(index: DataFrame, books: Codebooks | None, queries: Column, spec: Ann
 
     Queries go out in blocks of at most query_rows, broadcast; each task scores its rows of the index against them
     and returns k for each query, so no vector is shuffled. A row is no neighbour of rows with its own id. Rows that `usable` leaves out take no
-    part. Ids that repeat are as many queries as they have rows, and rank together. Fewer than k candidates are all returned; an empty table gives no rows.
+    part. Rows that share an id are one query, that of the least vector, and candidates each. Fewer than k candidates are all returned; an empty table gives no rows.
     """
     schema = "query_id long, vec_id long, score double"
-    picked = materialize(index.where(queries).select("vec_id", "x"))
+    picked = materialize(index.where(queries).groupBy("vec_id").agg(F.min("x").alias("x")))
     parts = max(1, -(-picked.count() // spec.query_rows))
     if books is None:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
