@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .collection import Collection
 from .errors import BindFault, ConflictFault, FolioError
 from .functions import values as V
 from .functions.library import VOLATILE
@@ -37,14 +40,36 @@ class Table:
     name: str
     order: tuple[str, ...]
     make: Callable[[], DataFrame]
+    indexes: dict[str, dict[str, Any]] = field(default_factory=dict)
 
     def frame(self) -> DataFrame:
-        return self.make()
+        df = self.make()
+        return collated(df, self.database.collation) if self.database.collation else df
 
     def lookup(self, name: str) -> DataFrame | None:
         return self.database.find(name)
 
 
+def collation_of(text: str) -> str | None:
+    """Spark's collation for `locale/options`; None for the ordinal one. Options are Ordinal, OrdinalIgnoreCase, IgnoreCase and IgnoreNonSpace."""
+    locale, _, rest = text.partition("/")
+    options = {o.strip().lower() for o in rest.split(",") if o.strip()} - {"none"}
+    if unknown := options - {"ordinal", "ordinalignorecase", "ignorecase", "ignorenonspace"}:
+        raise BindFault(f"no collation option {sorted(unknown)}")
+    if "ordinalignorecase" in options:
+        return "UTF8_LCASE"
+    if "ordinal" in options or not locale and not options:
+        return None
+    base = locale.split("-")[0].lower() if locale and locale.lower() != "invariant" else "UNICODE"
+    return base + ("_CI" if "ignorecase" in options else "") + ("_AI" if "ignorenonspace" in options else "")
+
+
+def collated(df: DataFrame, name: str) -> DataFrame:
+    """The table with its text columns under a collation: comparisons, groups and orders follow it."""
+    cols = [F.collate(F.col(f"`{f.name}`"), name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return df.select(*cols)
+
+
 class Database:
     """Attached tables are read only; collections under `path` can be written.
 
@@ -52,13 +77,23 @@ class Database:
     Readers keep the version they began with. An insert adds segments; updates and deletes rewrite only segments that hold a matching row.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, files: FileRoot = FileRoot(), change_log: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, files: FileRoot = FileRoot(), change_log: str | None = None, collation: str = "/Ordinal") -> None:
         self.spark, self.files = spark, files
+        self.collation = collation_of(collation)
         self.storage = Storage(spark, path) if path else None
         self.attached: dict[str, tuple[str, DataFrame, tuple[str, ...]]] = {}
         self.staged: Version | None = None
         self.feed = Feed(spark, change_log)
-        self.pragmas = dict(PRAGMAS)
+        self.pragmas = PRAGMAS | {"COLLATION": collation}
+
+    @staticmethod
+    def memory(spark: SparkSession) -> Database:
+        """A database that nobody else knows of, in the cluster's scratch folder."""
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        return Database(spark, f"{base.rstrip('/')}/folioq-memory-{uuid.uuid4().hex}")
+
+    def collection(self, name: str) -> Collection:
+        return Collection(self, name)
 
     # Sources
 
@@ -115,7 +150,7 @@ class Database:
         version = self.version
         found = self._stored(version, target.name)
         empty = lambda: self.spark.createDataFrame([], "_id string")
-        return Table(self, target.name, ("_id",), (lambda: self._read(found[1])) if found else empty)
+        return Table(self, target.name, ("_id",), (lambda: self._read(found[1])) if found else empty, found[1].indexes if found else {})
 
     def _virtual(self, name: str, args: list[Any]) -> DataFrame:
         """$file, $query, and facts about the database."""
@@ -314,7 +349,7 @@ class Database:
             rows = df if has else df.withColumn("_id", F.lit(None).cast(kinds[auto_id]))
             missing = rows.where("_id IS NULL")
             given = rows.where("_id IS NOT NULL") if has else None
-            numbered = _numbered(missing, "_id", c.last_id + 1).withColumn("_id", F.col("_id").cast(kinds[auto_id]))
+            numbered = self._numbered(missing, c.last_id + 1).withColumn("_id", F.col("_id").cast(kinds[auto_id]))
             return numbered if given is None else union([given, numbered])
         fresh = F.uuid() if auto_id == "GUID" else F.substring(F.sha2(F.uuid(), 256), 1, 24)
         if not has:
@@ -322,6 +357,18 @@ class Database:
         kind = has.dataType
         return df.withColumn("_id", F.coalesce("_id", fresh)) if isinstance(kind, (T.StringType, T.NullType)) else df
 
+    def _numbered(self, df: DataFrame, start: int) -> DataFrame:
+        """`df` with _id from `start` on, in no order: each partition is numbered by itself and shifted by those before it. The partitions are
+        written first, so that a lost executor cannot change them between counting and numbering."""
+        path = f"{self.storage.files.root}/_numbering/{uuid.uuid4().hex}"
+        df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+        kept = self.spark.read.parquet(path)
+        counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+        before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+        local = F.row_number().over(W.partitionBy("__part").orderBy("__at")) - 1
+        out = kept.withColumn("__row", local).join(before, "__part")
+        return out.withColumn("_id", F.col("__row") + F.col("__before") + start).drop("__part", "__at", "__row", "__before")
+
     def _check_keys(self, c: Stored, new: DataFrame, held: DataFrame | None) -> None:
         uniques = {"_id": "$._id"} | {i: x["expr"] for i, x in c.indexes.items() if x["unique"]}
         for index, text in uniques.items():
@@ -473,6 +520,31 @@ class Database:
     def find_near(self, name: str, field: str, target: list[float], most: float, metric: str = "cosine") -> DataFrame:
         return vector.find_near(self.query(name).frame(), field, target, most, metric)
 
+    def ensure_vector_index(self, collection: str, index: str, field: str, dims: int, metric: str = "cosine") -> bool:
+        """Facts for searches by name: vectors of other lengths are left out. Searches are exact."""
+        if metric not in vector.METRICS:
+            raise BindFault(f"no metric {metric!r}")
+        with self.transaction():
+            c = self._open(collection)
+            new = {"expr": field, "unique": False, "dims": dims, "metric": metric}
+            if index in c.indexes and c.indexes[index] != new:
+                raise BindFault(f"index {index} is there with other facts")
+            added = index not in c.indexes
+            c.indexes[index] = new
+            return added
+
+    def search_index(self, collection: str, index: str, target: list[float], k: int | None = None, most: float | None = None) -> DataFrame:
+        found = self._stored(self.version, collection)
+        facts = found[1].indexes.get(index) if found else None
+        if not facts or "dims" not in facts:
+            raise BindFault(f"no vector index {index}")
+        if len(target) != facts["dims"]:
+            raise BindFault(f"the index has {facts['dims']} dimensions")
+        name = root_fields(parse(facts["expr"]))[0]
+        if k is not None:
+            return self.top_k_near(collection, name, target, k, facts["metric"])
+        return self.find_near(collection, name, target, most, facts["metric"])
+
     # Checks
 
     def verify(self) -> list[str]:
@@ -498,13 +570,3 @@ class Database:
                 if c.segments:
                     to._open(name).segments = [to._write(name, self._read(c))]
         return len(version.collections)
-
-
-def _numbered(df: DataFrame, name: str, start: int) -> DataFrame:
-    """`df` with whole numbers from `start` on in no order: numbered in each partition, shifted by the partitions before it."""
-    kept = df.withColumn("__part", F.spark_partition_id()).persist()
-    counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).drop("__n")
-    local = F.row_number().over(W.partitionBy("__part").orderBy(F.monotonically_increasing_id()))
-    out = kept.withColumn("__row", local).join(F.broadcast(before), "__part")
-    return out.withColumn(name, F.col("__row") - 1 + F.col("__before") + start).drop("__part", "__row", "__before")

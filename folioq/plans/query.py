@@ -13,7 +13,7 @@ from ..errors import BindFault
 from ..functions import values as V
 from ..functions.values import Val
 from ..operators.include import include
-from .ast import Call, Lit, Node, Op, Paren, Path, default_name, has_source, root_fields
+from .ast import Call, Doc, Lit, Node, Op, Paren, Path, default_name, has_source, root_fields
 from .compiler import Aggregates, Scope, compile_node, dialect, row_of
 from .parser import COMPARISONS, parse
 
@@ -231,6 +231,18 @@ class Query:
     def exists(self) -> bool:
         return not self.frame().isEmpty()
 
+    def min(self, key: str) -> Any:
+        """The least value of the key: the first document's in its order, so null counts."""
+        return self._end(key, False)
+
+    def max(self, key: str) -> Any:
+        return self._end(key, True)
+
+    def _end(self, key: str, descending: bool) -> Any:
+        n = parse(key)
+        row = replace(self, orders=((n, descending),), projection=Doc((("v", n),)), count_limit=1).frame().first()
+        return row.v if row else None
+
     def into(self, name: str, auto_id: str | None = None) -> int:
         if not self.into_hook:
             raise BindFault("this source cannot write")
@@ -243,7 +255,7 @@ class Query:
             "collection": name,
             "snaphost": "read",
             "pipe": "groupByPipe" if self.group is not None else "queryPipe",
-            "index": {"name": "_id", "expr": "$._id", "order": 1, "mode": "FULL INDEX SCAN(_id)", "cost": 100},
+            "index": self._access(),
             "lookup": {"loader": "document", "fields": sorted({f for n in self._nodes() for f in root_fields(n)}) or "$"},
         }
         if self.wheres:
@@ -263,10 +275,34 @@ class Query:
         plan["spark"] = self.frame()._jdf.queryExecution().simpleString()
         return plan
 
+    def _access(self) -> dict[str, Any]:
+        """How a declared index would be used; Spark filters while it scans, and skips by statistics, either way."""
+        best = {"name": "_id", "expr": "$._id", "order": 1, "mode": "FULL INDEX SCAN(_id)", "cost": 100}
+        for index, x in {"_id": {"expr": "$._id", "unique": True}, **getattr(self.source, "indexes", {})}.items():
+            for n in self.wheres:
+                for c in _conjuncts(n):
+                    if not isinstance(c, Op) or c.quantifier or str(c.left) != x["expr"]:
+                        continue
+                    mode, cost = ACCESS.get(c.name, ("", 1000))
+                    cost = 1 if c.name == "=" and x["unique"] else cost
+                    if cost < best["cost"]:
+                        best = {"name": index, "expr": x["expr"], "order": 1, "mode": f"{mode}({index})", "cost": cost}
+        return best
+
     def _nodes(self) -> list[Node]:
         return [*self.wheres, self.projection, *(n for n, _ in self.orders), *self.havings, *([self.group] if self.group is not None else [])]
 
 
+#: Names and costs of index access by operator.
+ACCESS = {"=": ("INDEX SEEK", 10), ">": ("INDEX SCAN", 20), ">=": ("INDEX SCAN", 20), "<": ("INDEX SCAN", 20), "<=": ("INDEX SCAN", 20), "BETWEEN": ("INDEX RANGE SCAN", 20), "IN": ("INDEX SEEK", 10), "LIKE": ("INDEX SCAN", 10), "!=": ("INDEX SCAN", 80)}
+
+
+def _conjuncts(n: Node) -> list[Node]:
+    if isinstance(n, Paren):
+        return _conjuncts(n.inner)
+    return _conjuncts(n.left) + _conjuncts(n.right) if isinstance(n, Op) and n.name == "AND" else [n]
+
+
 def _predicate(n: Node) -> None:
     """A condition must be a comparison, or AND/OR of such; `*` has no place in one."""
     bare = n.inner if isinstance(n, Paren) else n
