@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ _LOWER[65:91] += 32
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[48:58], _CLASS[97:123], _CLASS[65:91], _CLASS[128:] = 1, 2, 3, 2
 #: Bytes that are hashed together; longer texts go by parts that end between words.
-PART = 1 << 22
+PART = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
 _ROOT = pow(_R, -1, 1 << 64)
 
@@ -47,6 +48,17 @@ class Features:
     shapes: bool = True
     repeats: bool = True
 
+    def each(self, texts: list[str | None], make: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]) -> np.ndarray:
+        """make(row, feature, value, number of texts) over a few texts at a time, and its results one below the other: what is held
+        at once follows PART and the longest text, not the number of texts."""
+        out, first, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t or "")
+            if size >= PART or k == len(texts) - 1:
+                out.append(make(*self.rows(texts[first : k + 1]), k + 1 - first))
+                first, size = k + 1, 0
+        return np.concatenate(out) if out else make(*self.rows([]), 0)
+
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, feature, value) of the texts, by row, then feature. Texts without words have none."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

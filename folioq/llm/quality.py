@@ -83,6 +83,10 @@ def train(docs: DataFrame, graded: DataFrame, spec: QualitySpec = QualitySpec(),
     return fit_ordinal(sample(docs, graded, ["grade"], spec.features, spec.most_rows, text=text, doc_id=doc_id), spec)
 
 
+def linear(texts: list[str | None], model: Ordinal, spec: QualitySpec) -> np.ndarray:
+    return spec.features.each(texts, lambda row, feature, value, n: dot(row, feature, value, model.weights, n))
+
+
 def score(docs: DataFrame, model: Ordinal, spec: QualitySpec = QualitySpec(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, expected_grade, p_tail (of keep_grade), grade (likeliest) and selected, for every row of `docs`.
 
@@ -92,7 +96,7 @@ def score(docs: DataFrame, model: Ordinal, spec: QualitySpec = QualitySpec(), *,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = dot(*spec.features.rows(b.column(1).to_pylist()), model.weights, b.num_rows)
+            x = linear(b.column(1).to_pylist(), model, spec)
             tails = model.tails(x)
             p = tails[:, spec.keep_grade - 1]
             each = -np.diff(np.concatenate([np.ones((len(x), 1)), tails, np.zeros((len(x), 1))], axis=1), axis=1)
@@ -109,7 +113,7 @@ def selected_documents(docs: DataFrame, model: Ordinal, spec: QualitySpec = Qual
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = dot(*spec.features.rows(b.column(at).to_pylist()), model.weights, b.num_rows)
+            x = linear(b.column(at).to_pylist(), model, spec)
             yield b.filter(pa.array(model.tails(x)[:, spec.keep_grade - 1] >= spec.keep_p))
 
     return docs.mapInArrow(run, docs.schema)

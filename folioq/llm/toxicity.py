@@ -122,11 +122,13 @@ def train(docs: DataFrame, marked: DataFrame, spec: ChainSpec = ChainSpec(), *,
 
 
 def probabilities(texts: list[str | None], chain: list[Link], spec: ChainSpec) -> np.ndarray:
-    row, feature, value = spec.features.rows(texts)
-    out = np.zeros((len(texts), 0))
-    for link in chain:
-        out = np.column_stack([out, link.p(dot(row, feature, value, link.weights, len(texts)), out)])
-    return out
+    def of(row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, 0))
+        for link in chain:
+            out = np.column_stack([out, link.p(dot(row, feature, value, link.weights, n), out)])
+        return out
+
+    return spec.features.each(texts, of)
 
 
 def score(docs: DataFrame, chain: list[Link], spec: ChainSpec = ChainSpec(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -101,3 +101,14 @@ def test_awkward_tables(spark, marks):
 def test_same_in_every_run(spark):
     a, b = (queries.op2_quality_ordinal(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect() for _ in range(2))
     assert a == b and dot(np.array([0]), np.array([0]), np.array([2.0]), np.array([3.0]), 1)[0] == 6
+
+
+def test_few_texts_at_a_time(monkeypatch):
+    from folioq.llm import features
+
+    f, weights = Features(bits=10), np.arange(1024) / 7
+    texts = ["a b c " * k for k in range(40)] + [None]
+    whole = dot(*f.rows(texts), weights, len(texts))
+    monkeypatch.setattr(features, "PART", 100)
+    assert np.allclose(f.each(texts, lambda r, g, v, n: dot(r, g, v, weights, n)), whole)
+    assert len(f.each([], lambda r, g, v, n: dot(r, g, v, weights, n))) == 0
