@@ -86,34 +86,35 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", doc_i
 
 @dataclass(frozen=True)
 class Sketch:
-    """How the pipeline compares documents: `lanes` fingerprints of their words find candidates (any lane
-    within 4 bits), and a pair is linked if `lanes` fingerprints of `shingle`-word shingles, taken as one of 64 * lanes bits,
-    put the Jaccard similarity of the shingle sets at `similarity` or more."""
+    """How the pipeline compares documents: `lanes` fingerprints of their words find candidates (any lane within 4 bits), and a
+    pair is linked if `shingle_lanes` fingerprints of `shingle`-word shingles, taken as one of 64 * shingle_lanes bits, put the Jaccard
+    similarity of the shingle sets at `similarity` or more."""
 
-    lanes: int = 4
+    lanes: int = 6
+    shingle_lanes: int = 4
     shingle: int = 5
     similarity: float = 0.8
     #: Standard deviations of the estimate that are allowed for, so that pairs at the limit are found.
-    slack: float = 1.0
+    slack: float = 1.5
     #: Shorter words are shared by unrelated texts; they count only in texts that have no others.
     long_word: int = 5
 
     def most_bits(self) -> int:
         cos = 2 * self.similarity / (1 + self.similarity)  # of two sets of equal size
-        p, bits = np.arccos(cos) / np.pi, 64 * self.lanes
+        p, bits = np.arccos(cos) / np.pi, 64 * self.shingle_lanes
         return int(bits * p + self.slack * (bits * p * (1 - p)) ** 0.5)
 
 
 def sketches(docs: DataFrame, sketch: Sketch, keys: tuple[Column, ...] = ()) -> DataFrame:
-    """doc_id, w (candidate fingerprints) and s (shingle fingerprints), arrays of `lanes` longs each, of `docs` (doc_id, text);
-    `keys` are columns (k, z) to go along."""
+    """doc_id, w (`lanes` candidate fingerprints) and s (`shingle_lanes` shingle fingerprints) of `docs` (doc_id, text); `keys` are
+    columns (k, z) to go along."""
 
     def one(t: str | None) -> tuple[list[int], list[int]]:
         words = words_of(t)
         some = {w for w in words if len(w) >= sketch.long_word} or set(words)
         h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in some), np.uint64, len(some))
         g = np.unique(shingle_hashes(words, sketch.shingle))
-        return tuple([signed(majority(mixed(x, i))) for i in range(sketch.lanes)] for x in (h, g))
+        return tuple([signed(majority(mixed(x, i))) for i in range(n)] for x, n in ((h, sketch.lanes), (g, sketch.shingle_lanes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
