@@ -33,11 +33,12 @@ HOMOGLYPHS = {
     "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ӏ": "l",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "К": "K", "М": "M", "О": "O", "Р": "P", "Т": "T", "Х": "X", "Ѕ": "S",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K",
-    "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "․": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "。": ".",
+    "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "․": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "。": ".", "﹫": "@", "﹒": ".",
 }
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-_DIGIT_BYTES = [w.encode() for w in DIGIT_WORDS]
+#: A run of three spelled digits has one of these inside.
+_SPOKEN_DIGITS = [f"{a}{w}{b}".encode() for w in DIGIT_WORDS for a, b in ("  ", "--", " ,")]
 #: By rule: full-width forms of ASCII, and every script's decimal digits.
 _LOOKALIKE = HOMOGLYPHS | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 _LOOKALIKE |= {c: str(d) for c in map(chr, range(0x80, 0x20000)) if (d := unicodedata.decimal(c, None)) is not None}
@@ -45,19 +46,23 @@ _MAP = str.maketrans(_LOOKALIKE)
 _HOMO = re.compile("[" + "".join(re.escape(c) for c in sorted(_LOOKALIKE)) + "]+")
 _HIDDEN = re.compile("[​-‍⁠﻿­]+")
 _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]{{1,3}})?{_DIGIT}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot)|\.)*?(?:[ ,-]{{1,3}}{_DIGIT}){{3}}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot))*(?![A-Za-z])", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]{{1,3}})?{_DIGIT}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot)|\.)*?(?:[ ,-]{{1,3}}{_DIGIT}){{2}}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot))*(?![A-Za-z])", re.I)
 _SPELLED_WORD = re.compile(rf"{_DIGIT}|dot|plus", re.I)
 #: Quick looks at the lower-case bytes: is there any disguise to undo?
-_BRACKETED = re.compile(rb"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]")
+_LONG_NUMBER = re.compile(r"(?<![0-9+.])[0-9]{10,15}(?![0-9.])")
+_BRACKETED = re.compile(rb"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|[-_*](?:at|dot)[-_*]|&#64;|&commat;|%40")
+_PLAIN_AT = re.compile(rb" at [a-z0-9-]{2,63}\.[a-z]")
 _SPOKEN_DOT = re.compile(rb"\sdot\s")
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:at|@){_CLOSE})(?=[A-Za-z0-9])", re.I)
-_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:dot|\.){_CLOSE})(?=[A-Za-z0-9])", re.I)
+_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:at|@){_CLOSE}|&#64;|&commat;|%40|\s?[-_*]at[-_*]\s?(?=[A-Za-z0-9-]{{1,63}}\s?[-_*]dot[-_*]))(?=[A-Za-z0-9])", re.I)
+_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:dot|\.){_CLOSE}|\s?[-_*]dot[-_*]\s?)(?=[A-Za-z0-9])", re.I)
 # Words that end no local part when "at" follows.
 PLAIN_WORDS = "is are was were be look looks meet him her them us it not here there only just or and the stop start end".split()
 _NOT_PLAIN = "".join(rf"(?<!\b{w})" for w in PLAIN_WORDS)
 _SAID = re.compile(rf"(?<=[A-Za-z0-9]){_NOT_PLAIN}" + r"\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\s{1,3}dot\s{1,3}[A-Za-z])", re.I)
 _SAID_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z])", re.I)
+#: A plain "at" before a plain domain, if the word before it looks like a local part: it has a digit, _ or a full stop inside.
+_NAMED = re.compile(r"(?:(?<=[._+][A-Za-z0-9]{3})|(?<=[._+][A-Za-z0-9]{4})|(?<=[._+][A-Za-z0-9]{5})|(?<=[._+][A-Za-z0-9]{6})|(?<=[A-Za-z][0-9]{2})|(?<=[A-Za-z][0-9]{4}))\sat\s(?=[A-Za-z0-9-]{2,63}\.(?:com|org|net|edu|gov|io|de|fr|es|uk|example)\b)", re.I)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,3}@\s{0,3}|@\s{1,3})(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4})")
 
 
@@ -66,6 +71,7 @@ class Transduced:
 
     def __init__(self, text: str) -> None:
         self.text, self.steps = text, []
+        self.spoken: list[Span] = []
 
     def apply(self, pattern: re.Pattern, put: Callable[[str], str]) -> None:
         """Replace the pattern's matches. Replacements of equal length keep the place of each character."""
@@ -154,15 +160,19 @@ def normalised(text: str) -> Transduced:
         t.apply(_HIDDEN, lambda _: "")
         t.apply(_HOMO, lambda run: run.translate(_MAP))
     low = t.text.encode().lower()
-    if sum(map(low.count, _DIGIT_BYTES)) >= 4:
+    if any(mark in low for mark in _SPOKEN_DIGITS):
         t.apply(_SPELLED, _spoken)
+        t.spoken = [("phone", *m.span()) for m in _LONG_NUMBER.finditer(t.text) if t.source(*m.span())[1] - t.source(*m.span())[0] >= 4 * len(m[0])] if t.steps else []
     spoken = b"dot" in low and _SPOKEN_DOT.search(low)
     spaced = b"@" in low and (b" @" in low or b"@ " in low)
-    opened = any(c in low for c in (b"[", b"(", b"{", b"<"))
-    if spoken or spaced or opened and _BRACKETED.search(low):
+    opened = any(c in low for c in (b"[", b"(", b"{", b"<", b"&#64;", b"&commat;", b"%40", b"at-", b"at_", b"at*"))
+    named = _PLAIN_AT.search(low)
+    if spoken or spaced or named or opened and _BRACKETED.search(low):
         t.apply(_AT, lambda _: "@")
         t.apply(_DOT, lambda _: ".")
         t.apply(_SPACED, lambda _: "@")
+        if named:
+            t.apply(_NAMED, lambda _: "@")
         if spoken:
             t.apply(_SAID, lambda _: "@")
             if "@" in t.text:
@@ -178,7 +188,7 @@ def find_pii(text: str | None) -> tuple[list[Span], list[Span]]:
     if not t.steps:
         return base, []
     more = []
-    for kind, start, end in identifiers(t.text):
+    for kind, start, end in identifiers(t.text) + t.spoken:
         start, end = t.source(start, end)
         if not any(k == kind and s <= start and end <= e for k, s, e in base):  # what reaches beyond a base span is told too
             more.append((kind, start, end))
