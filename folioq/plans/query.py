@@ -318,7 +318,11 @@ def _predicate(n: Node) -> None:
 
 
 def columns(v: Val, name: str) -> list[Column]:
-    """A document's fields as columns, or one column of that name."""
+    """A document's fields as columns, or one column of that name. What is null by type is text, which every sink can hold."""
     if v.kind == "doc" and hasattr(v.type, "fields") and v.type.fields:
-        return [V.field(v, f.name).col.alias(f.name) for f in v.type.fields]
-    return [v.col.alias(name)]
+        return [_stored(V.field(v, f.name)).alias(f.name) for f in v.type.fields]
+    return [_stored(v).alias(name)]
+
+
+def _stored(v: Val) -> Column:
+    return v.col.cast("string") if v.kind == "null" else v.col
