@@ -23,7 +23,7 @@ class ChainSpec:
     and each model looks at most_features of the others."""
 
     categories: tuple[str, ...] = ("toxic", "toxic_prose", "toxic_noise")
-    most_rows: int = 6000
+    most_rows: int = 5000
     least_rows: int = 5
     folds: int = 4
     most_features: int = 4000
@@ -32,7 +32,7 @@ class ChainSpec:
     rate: float = 0.4
     l2: float = 2e-5
     threshold: float = 0.5
-    features: Features = field(default_factory=lambda: Features(bits=19, prefixes=(4, 5, 6), shapes=True, repeats=True))
+    features: Features = field(default_factory=lambda: Features(bits=19, prefixes=(4, 6), shapes=True, repeats=True))
 
 
 @dataclass(frozen=True)

@@ -27,11 +27,11 @@ class Sample:
 
     def compact(self, least: int) -> tuple[np.ndarray, Sample]:
         """Features that at least `least` rows have, and the sample with those alone, numbered anew."""
-        names, new, n = np.unique(self.feature, return_inverse=True, return_counts=True)
+        n = np.bincount(self.feature)
         keep = n >= least
-        place = np.cumsum(keep) - 1
-        here = keep[new]
-        return names[keep], Sample(self.targets, self.row[here], place[new[here]], self.value[here])
+        place = (np.cumsum(keep) - 1).astype(np.int32)
+        here = keep[self.feature]
+        return np.flatnonzero(keep), Sample(self.targets, self.row[here], place[self.feature[here]], self.value[here])
 
 
 def sample(docs: DataFrame, labels: DataFrame, targets: list[str], features: Features, most: int, *, text: str, doc_id: str) -> Sample:
@@ -51,14 +51,14 @@ def sample(docs: DataFrame, labels: DataFrame, targets: list[str], features: Fea
             row, feature, value = features.rows(b.column(1).to_pylist())
             at = np.searchsorted(row, np.arange(b.num_rows + 1))
             cut = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(at, at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), cut(feature, "<u4"), cut(value, "<f4")], ["doc_id", "y", "f", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), cut(feature, "<i4"), cut(value, "<f4")], ["doc_id", "y", "f", "v"])
 
     made = rows.mapInArrow(run, "doc_id long, y array<double>, f binary, v binary")
-    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("f")).limit(most).collect()  # at most `most` rows
-    sizes = [len(r.f) // 4 for r in got]
-    flat = lambda k, kind: np.frombuffer(b"".join(bytes(r[k]) for r in got), kind)
-    y = np.array([r.y for r in got], float).reshape(len(got), len(targets))
-    return Sample(y, np.repeat(np.arange(len(got)), sizes), flat("f", "<u4").astype(np.int64), flat("v", "<f4").astype(float))
+    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("f")).limit(most).toArrow()  # at most `most` rows
+    flat = lambda k, kind: np.frombuffer(b"".join(x.as_py() for x in got.column(k)), kind)
+    sizes = [len(x.as_buffer()) // 4 for x in got.column("f")]
+    y = np.array(got.column("y").to_pylist(), float).reshape(len(got), len(targets))
+    return Sample(y, np.repeat(np.arange(len(got), dtype=np.int32), sizes), flat("f", "<i4"), flat("v", "<f4"))
 
 
 def adam(loss_slope: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int, rate: float) -> np.ndarray:
