@@ -62,9 +62,11 @@ def _string(name: str, make: Callable[[Column], Column]) -> None:
 
 _string("LOWER", F.lower)
 _string("UPPER", F.upper)
-_string("LTRIM", lambda c: F.regexp_replace(c, r"(?U)^\s+", ""))
-_string("RTRIM", lambda c: F.regexp_replace(c, r"(?U)\s+$", ""))
-_string("TRIM", lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+#: Unicode's white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_string("LTRIM", lambda c: F.ltrim(c, F.lit(BLANKS)))
+_string("RTRIM", lambda c: F.rtrim(c, F.lit(BLANKS)))
+_string("TRIM", lambda c: F.trim(c, F.lit(BLANKS)))
 
 
 @fn("INDEXOF", n=(2, 3))

@@ -25,7 +25,7 @@ def db(spark, tmp_path):
         ("LPAD('x', 4, 'ab')", "aaax"), ("JOIN(SPLIT('a,,b', ','), '|')", "a|b"), ("null <= 0.5", True), ("'abc' LIKE 'a_c'", True), ("'a\\\\b' LIKE 'a\\\\_'", True),
         ("5 IN [1, null, 5]", True), ("[1,2,3][5]", None), ("COUNT(DISTINCT([1,1,2]))", 2), ("MATCH('k=v', '(?P<a>.)=(?P<b>.)', 'b')", "v"), ("MATCH('x', 'y', 0)", None),
         ("DATEDIFF('M', DATETIME('2020-01-31'), DATETIME('2020-03-01'))", 1), ("STRING(DATEADD('M', 1, DATETIME('2020-01-31')) = DATETIME('2020-02-29'))", "true"),
-        ("FORMAT(1234.5, 'N1')", "1,234.5"), ("INT('12')", 12), ("INT('1.5')", None), ("BOOL('TRUE')", True), ("COALESCE(null, 3)", 3), ("LENGTH(null)", 0),
+        ("FORMAT(1234.5, 'N1')", "1,234.5"), ("INT('12')", 12), ("INT('1.5')", None), ("BOOL('TRUE')", True), ("COALESCE(null, 3)", 3), ("LENGTH(null)", 0), ("'[' + TRIM('\u3000 a b\t\n') + ']'", "[a b]"), ("LTRIM('\u00a0x ') + '|'", "x |"), ("RTRIM(' x\u2003') + '|'", " x|"),
         ("JOIN(MAP([1,2,3] => @ * 2), ',')", "2,4,6"), ("JOIN(SORT([2,3,1] => @, 'desc'), '')", "321"), ("[1,2,3] ALL > 0", True), ("[] ANY > 0", False), ("{a: 1}['a']", 1),
         ("TOP([1,2,3], 2) ANY = 2", True), ("IS_INT32(1)", True), ("IS_INT64(1)", False), ("@p + 1", 6), ("HOUR(DATETIME('2020-01-15T10:30:00'))", 10), ("OID_CREATIONTIME('5f5e1000aaaaaaaaaaaaaaaa') > DATETIME(2020,1,1)", True),
     ],

@@ -1,6 +1,5 @@
 import pytest
-from compare import of_frame, of_sql
-from conftest import SF
+from compare import SF, of_frame, of_sql
 
 import __spark_entry__ as entry
 from folioq import queries as core
