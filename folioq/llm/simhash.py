@@ -86,46 +86,111 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", doc_i
 
 @dataclass(frozen=True)
 class Sketch:
-    """How the pipeline compares documents: `lanes` fingerprints of their words find candidates (any lane within 4 bits), and a
-    pair is linked if `shingle_lanes` fingerprints of `shingle`-word shingles, taken as one of 64 * shingle_lanes bits, put the Jaccard
-    similarity of the shingle sets at `similarity` or more."""
+    """How the pipeline compares documents: a pair is proposed if it shares the least hashes of one of `bands` bands of `rows` hash
+    functions over `shingle`-word shingles, and linked if the Jaccard similarity of its shingle sets, counted in full, is `similarity`
+    or more. A pair of similarity j is proposed with probability 1 - (1 - j^rows)^bands, whatever the edit that parts its texts."""
 
-    lanes: int = 6
-    shingle_lanes: int = 4
+    bands: int = 40
+    rows: int = 7
     shingle: int = 5
     similarity: float = 0.8
-    #: Standard deviations of the estimate that are allowed for, so that pairs at the limit are found.
-    slack: float = 1.5
-    #: Shorter words are shared by unrelated texts; they count only in texts that have no others.
-    long_word: int = 5
 
-    def most_bits(self) -> int:
-        cos = 2 * self.similarity / (1 + self.similarity)  # of two sets of equal size
-        p, bits = np.arccos(cos) / np.pi, 64 * self.shingle_lanes
-        return int(bits * p + self.slack * (bits * p * (1 - p)) ** 0.5)
 
+def least_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """For each of n hash functions (odd multiples of the upper halves, plus a constant, in 32 bits) its least value over `hashes`."""
+    factor, shift = (mixed(np.arange(n, dtype=np.uint64), i).astype(np.uint32)[:, None] for i in (1, 2))
+    least = np.full(n, 2**32 - 1, np.uint32)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(upper), 1 << 10):
+        least = np.minimum(least, (upper[i : i + (1 << 10)] * (factor | np.uint32(1)) + shift).min(axis=1))
+    return least
+
+
+def band_values(shingles: np.ndarray, sketch: Sketch) -> list[int]:
+    """A value for each band; equal values of unlike bands do not occur but by chance. None without shingles."""
+    if not len(shingles):
+        return []
+    least = least_hashes(shingles, sketch.bands * sketch.rows).reshape(sketch.bands, sketch.rows)
+    return [signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least)]
 
-def sketches(docs: DataFrame, sketch: Sketch, keys: tuple[Column, ...] = ()) -> DataFrame:
-    """doc_id, w (`lanes` candidate fingerprints) and s (`shingle_lanes` shingle fingerprints) of `docs` (doc_id, text); `keys` are
-    columns (k, z) to go along."""
 
-    def one(t: str | None) -> tuple[list[int], list[int]]:
-        words = words_of(t)
-        some = {w for w in words if len(w) >= sketch.long_word} or set(words)
-        h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in some), np.uint64, len(some))
-        g = np.unique(shingle_hashes(words, sketch.shingle))
-        return tuple([signed(majority(mixed(x, i))) for i in range(n)] for x, n in ((h, sketch.lanes), (g, sketch.shingle_lanes)))
+def sketches(docs: DataFrame, sketch: Sketch, keys: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, id (a hash of the shingle set), bands and the set of shingles' hashes of `docs` (doc_id, text); `keys` are columns
+    (k, z) to go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
         for b in batches:
-            out = [one(t.as_py()) for t in b.column(1)]
-            cols = [pa.array([x[i] for x in out], kind) for i in (0, 1)]
-            names = ["doc_id", *b.schema.names[2:], "w", "s"]
+            sets = [np.unique(shingle_hashes(words_of(t.as_py()), sketch.shingle)) for t in b.column(1)]
+            ids = pa.array([signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
+            cols = [ids, pa.array([band_values(s, sketch) for s in sets], kind), pa.array([s.view(np.int64) for s in sets], kind)]
+            names = ["doc_id", *b.schema.names[2:], "id", "bands", "shingles"]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *cols], names)
 
     also = "k long, z boolean, " if keys else ""
-    return docs.select("doc_id", "text", *keys).mapInArrow(run, f"doc_id long, {also}w array<long>, s array<long>")
+    return docs.select("doc_id", "text", *keys).mapInArrow(run, f"doc_id long, {also}id long, bands array<long>, shingles array<long>")
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of the components of all pairs of `sets` (distinct values, none empty) whose Jaccard similarity is `similarity` or more.
+
+    From each set found, those not yet found are compared in full; so sets that are all alike are looked at once."""
+    size = np.array([len(s) for s in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(flat, np.cumsum(size)[:-1])
+    label, rest, mark = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(values), bool)
+    starts = np.cumsum(size) - size
+    while len(rest) > 1:
+        seed, found = rest[0], [rest[0]]
+        flat, starts, rest = flat[size[seed] :], starts[1:] - size[seed], rest[1:]
+        while found and len(rest):
+            x = found.pop()
+            mark[parts[x]] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[parts[x]] = False
+            near = both >= similarity * (size[rest] + size[x] - both) - 1e-9
+            if near.any():
+                label[rest[near]] = seed
+                found += rest[near].tolist()
+                flat, rest = flat[np.repeat(~near, size[rest])], rest[~near]
+                starts = np.cumsum(size[rest]) - size[rest]
+    return label
+
+
+def shingle_links(slim: DataFrame, sketch: Sketch) -> DataFrame:
+    """Edges (u, v) between ids of `slim` (id, bands, shingles) that join the components of all pairs that share a band's value and are alike.
+
+    Bands' values with the same members are searched once. Sets are dealt out only where a value has more than one member.
+    """
+    dealt = materialize(slim.groupBy("id").agg(F.first("bands").alias("bands"))).select("id", F.explode("bands").alias("b"))
+    who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    shared = dealt.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *who).where("n > 1")
+    shared = materialize(shared.groupBy("n", "x1", "x2").agg(F.min("b").alias("b")).select("b"))
+    members = materialize(dealt.join(broadcast_if_small(shared), "b"))
+    ids = materialize(members.select("id").distinct())
+    sets = slim.select("id", "shingles").join(broadcast_if_small(ids), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    rows = members.join(materialize(sets), "id").select("b", "id", "shingles").repartition("b").sortWithinPartitions("b")
+
+    def found(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        label = alike(sets, sketch.similarity)
+        return ((ids[i], ids[label[i]]) for i in np.flatnonzero(label != np.arange(len(label))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, ids, sets, edges = None, [], [], []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
+        for batch in batches:
+            for b, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b != value:
+                    edges += found(ids, sets) if len(ids) > 1 else ()
+                    value, ids, sets = b, [], []
+                ids.append(i)
+                sets.append(s.values.to_numpy())
+            yield done()
+            edges = []
+        edges += found(ids, sets) if len(ids) > 1 else ()
+        yield done()
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -261,11 +326,10 @@ def _marked(docs: DataFrame, sketch: Sketch, text: str, doc_id: str) -> DataFram
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     k, z = row_key("doc_id", "text")
     slim = sketches(src, sketch, keys=(k.alias("k"), z.alias("z")))
-    slim = materialize(slim.withColumn("id", F.xxhash64("w", "s")))
-    rep = F.min(F.struct("z", "k")).alias("rep")
-    reps = materialize(slim.groupBy("id").agg(rep, F.first("w").alias("w"), F.first("s").alias("s")))
-    found = components(links(reps.select("id", "w", "s"), sketch.lanes, sketch.most_bits()))
-    named = _component_ids(reps.select("id", "rep"), found)
+    slim = materialize(slim)
+    reps = materialize(slim.groupBy("id").agg(F.min(F.struct("z", "k")).alias("rep")))
+    found = components(shingle_links(slim, sketch))
+    named = _component_ids(reps, found)
     out = slim.select("doc_id", "k", "z", "id").join(named, "id")
     return out.select("doc_id", "k", "z", F.col("component_id.k").alias("ck"), F.col("component_id.z").alias("cz"))
 

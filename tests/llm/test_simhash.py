@@ -136,3 +136,41 @@ def test_deduplicated(spark):
     twice = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "q r s t u v"), (3, "l m n o p q"), (4, "q r s t u v")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.text[0]) for r in S.deduplicated(twice).collect()), key=repr) in ([(3, "l"), (None, "a")], [(3, "q"), (None, "a")])
     assert S.deduplicated(nothing(spark)).count() == 0
+
+
+def test_every_kind_of_edit_is_found(spark):
+    """Near copies with a cut tail, an appended, swapped or foreign passage, down to a similarity of 0.8; and what is less alike stays."""
+    rng = random.Random(5)
+    some = lambda n: [f"token{rng.randrange(5000)}" for _ in range(n)]
+    edits = {
+        "cut": lambda w, x: w[: len(w) - x],
+        "append": lambda w, x: w + some(x),
+        "swap": lambda w, x: w[len(w) // 2 :] + w[: len(w) // 2],
+        "foreign": lambda w, x: w[: len(w) // 3] + some(x // 2) + w[len(w) // 3 + x // 2 :],
+        "scattered": lambda w, x: [some(1)[0] if rng.random() < x / len(w) / 6 else y for y in w],
+    }
+    rows, near, clean = [], {}, []
+    for i in range(400):
+        words, (name, edit) = some(rng.choice([30, 100, 400, 1200])), rng.choice(list(edits.items()))
+        other = edit(words, int(len(words) * rng.uniform(0.02, 0.35)))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        (near.setdefault(name, []) if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else clean).append(2 * i + 1)
+    short = [(1000, "one two three four five six seven eight nine"), (1001, "one two three four five six seven eight nine ten"), (1002, "one two"), (1003, "one two"), (1004, "one three")]
+    kept = {r.doc_id for r in S.deduplicated(spark.createDataFrame(rows + short, "doc_id long, text string")).collect()}
+    assert len(near) == 5 and {k: sum(i in kept for i in v) for k, v in near.items()} == dict.fromkeys(near, 0)
+    assert len(clean) > 50 and set(clean) <= kept
+    assert kept & {1000, 1001, 1002, 1003, 1004} == {1000, 1002, 1004}
+
+
+def test_alike_is_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        base = rng.sample(range(100), rng.randrange(4, 30))
+        sets = [np.unique(np.array(base[: rng.randrange(1, len(base) + 1)] + rng.sample(range(100, 110), rng.randrange(3)))) for _ in range(rng.randrange(1, 12))]
+        near = [{i} for i in range(len(sets))]
+        for i in range(len(sets)):
+            for j in range(i):
+                if 10 * len(set(sets[i]) & set(sets[j])) >= 8 * len(set(sets[i]) | set(sets[j])):
+                    for k in (both := near[i] | near[j]):
+                        near[k] = both
+        assert S.alike(sets, 0.8).tolist() == [min(n) for n in near]
