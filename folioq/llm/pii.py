@@ -37,8 +37,6 @@ HOMOGLYPHS = {
 }
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-#: A run of three spelled digits has one of these inside.
-_SPOKEN_DIGITS = [f"{a}{w}{b}".encode() for w in DIGIT_WORDS for a, b in ("  ", "--", " ,")]
 #: By rule: full-width forms of ASCII, and every script's decimal digits.
 _LOOKALIKE = HOMOGLYPHS | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 _LOOKALIKE |= {c: str(d) for c in map(chr, range(0x80, 0x20000)) if (d := unicodedata.decimal(c, None)) is not None}
@@ -46,9 +44,10 @@ _MAP = str.maketrans(_LOOKALIKE)
 _HOMO = re.compile("[" + "".join(re.escape(c) for c in sorted(_LOOKALIKE)) + "]+")
 _HIDDEN = re.compile("[​-‍⁠﻿­]+")
 _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]{{1,3}})?{_DIGIT}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot)|\.)*?(?:[ ,-]{{1,3}}{_DIGIT}){{2}}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot))*(?![A-Za-z])", re.I)
-_SPELLED_WORD = re.compile(rf"{_DIGIT}|dot|plus", re.I)
-#: Quick looks at the lower-case bytes: is there any disguise to undo?
+_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]{{1,3}})?{_DIGIT}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot)|\.)*?(?:[ ,-]{{1,3}}{_DIGIT}){{2}}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot))*(?![A-Za-z])", re.I | re.A)
+_SPELLED_WORD = re.compile(rf"{_DIGIT}|dot|plus", re.I | re.A)
+#: Quick looks at the lower-case bytes: is there any disguise to undo? A match of _SPELLED has the last two of its three digits in a row in it.
+_SPOKEN_DIGITS = re.compile(rf"[ ,-]{_DIGIT}[ ,-]{{1,3}}{_DIGIT}".encode())
 _LONG_NUMBER = re.compile(r"(?<![0-9+.])[0-9]{10,15}(?![0-9.])")
 _BRACKETED = re.compile(rb"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|[-_*](?:at|dot)[-_*]|&#64;|&commat;|%40")
 _PLAIN_AT = re.compile(rb" at [a-z0-9-]{2,63}\.[a-z]")
@@ -160,7 +159,7 @@ def normalised(text: str) -> Transduced:
         t.apply(_HIDDEN, lambda _: "")
         t.apply(_HOMO, lambda run: run.translate(_MAP))
     low = t.text.encode().lower()
-    if any(mark in low for mark in _SPOKEN_DIGITS):
+    if _SPOKEN_DIGITS.search(low):
         t.apply(_SPELLED, _spoken)
         t.spoken = [("phone", *m.span()) for m in _LONG_NUMBER.finditer(t.text) if t.source(*m.span())[1] - t.source(*m.span())[0] >= 4 * len(m[0])] if t.steps else []
     spoken = b"dot" in low and _SPOKEN_DOT.search(low)

@@ -143,3 +143,15 @@ def test_packet_table(spark):
     assert len(ok) == 18 and b"".join(media[r.start : r.start + r.size] for r in ok) == b"x" * 9000 + bytes(9024 - 9000)
     assert {r.key for r in got if r.error} == {"b", "e"} and len([r for r in got if r.key is None]) == 18
     assert unknown
+
+
+@pytest.mark.parametrize("gap", [a + b + c for a in " ,-" for b in ("", " ", ",", "-") for c in ("", " ", ",", "-")])
+def test_spelled_digits_with_every_separator(gap):
+    shown = gap.join("plus four nine one five five five one two three four".split())
+    for text in (f"call {shown}.", shown, f"call {shown.upper()}."):
+        start = 0 if text == shown else 5
+        assert ("phone", start, start + len(shown)) in pii.find_pii(text)[1] and pii.masked(text).count("[PHONE]") == 1
+
+
+def test_words_that_only_case_folding_makes_digits():
+    assert pii.find_pii("call one two three, one two ſix, fıve six seven now") == ([], [])
