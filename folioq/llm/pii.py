@@ -50,7 +50,8 @@ _SPELLED_WORD = re.compile(rf"{_DIGIT}|dot|plus", re.I | re.A)
 _SPOKEN_DIGITS = re.compile(rf"[ ,-]{_DIGIT}[ ,-]{{1,3}}{_DIGIT}".encode())
 _LONG_NUMBER = re.compile(r"(?<![0-9+.])[0-9]{10,15}(?![0-9.])")
 _BRACKETED = re.compile(rb"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|[-_*](?:at|dot)[-_*]|&#64;|&commat;|%40")
-_PLAIN_AT = re.compile(rb" at [a-z0-9-]{2,63}\.[a-z]")
+#: Of blanks and letters beyond ASCII any byte will do.
+_PLAIN_AT = re.compile(rb"at[\s\x1c-\x1f\x80-\xff]{1,9}[a-z0-9\x80-\xff-]{1,189}\.[a-z0-9]")
 _SPOKEN_DOT = re.compile(rb"\sdot\s")
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _AT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:at|@){_CLOSE}|&#64;|&commat;|%40|\s?[-_*]at[-_*]\s?(?=[A-Za-z0-9-]{{1,63}}\s?[-_*]dot[-_*]))(?=[A-Za-z0-9])", re.I)
@@ -60,8 +61,10 @@ PLAIN_WORDS = "is are was were be look looks meet him her them us it not here th
 _NOT_PLAIN = "".join(rf"(?<!\b{w})" for w in PLAIN_WORDS)
 _SAID = re.compile(rf"(?<=[A-Za-z0-9]){_NOT_PLAIN}" + r"\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\s{1,3}dot\s{1,3}[A-Za-z])", re.I)
 _SAID_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z])", re.I)
-#: A plain "at" before a plain domain, if the word before it looks like a local part: it has a digit, _ or a full stop inside.
-_NAMED = re.compile(r"(?:(?<=[._+][A-Za-z0-9]{3})|(?<=[._+][A-Za-z0-9]{4})|(?<=[._+][A-Za-z0-9]{5})|(?<=[._+][A-Za-z0-9]{6})|(?<=[A-Za-z][0-9]{2})|(?<=[A-Za-z][0-9]{4}))\sat\s(?=[A-Za-z0-9-]{2,63}\.(?:com|org|net|edu|gov|io|de|fr|es|uk|example)\b)", re.I)
+#: A plain "at" before a plain domain, if the word before it looks like a local part (see _clear_local).
+_NAMED = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=(?:[A-Za-z0-9-]{1,63}\.){1,5}(?:[A-Za-z]{2,63}|xn--[A-Za-z0-9-]{1,59})(?![A-Za-z0-9]))", re.I)
+# Numbers, ordinals and times of day are no local parts when a plain "at" follows.
+_PLAIN_NUMBER = re.compile(r"[0-9]+(?:[.,][0-9]+)?(?:am|pm|st|nd|rd|th)?", re.I)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,3}@\s{0,3}|@\s{1,3})(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4})")
 
 
@@ -72,8 +75,8 @@ class Transduced:
         self.text, self.steps = text, []
         self.spoken: list[Span] = []
 
-    def apply(self, pattern: re.Pattern, put: Callable[[str], str]) -> None:
-        """Replace the pattern's matches. Replacements of equal length keep the place of each character."""
+    def apply(self, pattern: re.Pattern, put: Callable[[str], str], only: Callable[[re.Match], bool] = bool) -> None:
+        """Replace the pattern's matches, or those that `only` takes. Replacements of equal length keep the place of each character."""
         out, new, old, starts, stretches = [], 0, 0, [], []
 
         def add(piece: str, length: int) -> None:
@@ -84,7 +87,7 @@ class Transduced:
                 out.append(piece)
             new, old = new + len(piece), old + length
 
-        for m in pattern.finditer(self.text):
+        for m in filter(only, pattern.finditer(self.text)):
             add(self.text[old : m.start()], m.start() - old)
             add(put(m[0]), m.end() - m.start())
         if stretches:
@@ -145,6 +148,15 @@ def _spoken(run: str) -> str:
     return "".join({"dot": ".", "plus": "+"}.get(w) or DIGIT_WORDS[w] for w in words)
 
 
+def _clear_local(m: re.Match) -> bool:
+    """True if the word before the match has a digit, _, + or a full stop inside, as local parts have and plain words don't."""
+    start = m.start()
+    while start and m.string[start - 1] in LOCAL_CHARS:
+        start -= 1
+    word = m.string[start : m.start()].lstrip(".%-")
+    return any(c in "0123456789._+" for c in word) and not _PLAIN_NUMBER.fullmatch(word)
+
+
 def _western(text: str) -> bool:
     """True if there is nothing but Latin-1 in the text, and no soft hyphen: then there is no lookalike to map."""
     try:
@@ -162,6 +174,7 @@ def normalised(text: str) -> Transduced:
     if _SPOKEN_DIGITS.search(low):
         t.apply(_SPELLED, _spoken)
         t.spoken = [("phone", *m.span()) for m in _LONG_NUMBER.finditer(t.text) if t.source(*m.span())[1] - t.source(*m.span())[0] >= 4 * len(m[0])] if t.steps else []
+        low = t.text.encode().lower()
     spoken = b"dot" in low and _SPOKEN_DOT.search(low)
     spaced = b"@" in low and (b" @" in low or b"@ " in low)
     opened = any(c in low for c in (b"[", b"(", b"{", b"<", b"&#64;", b"&commat;", b"%40", b"at-", b"at_", b"at*"))
@@ -170,8 +183,7 @@ def normalised(text: str) -> Transduced:
         t.apply(_AT, lambda _: "@")
         t.apply(_DOT, lambda _: ".")
         t.apply(_SPACED, lambda _: "@")
-        if named:
-            t.apply(_NAMED, lambda _: "@")
+        t.apply(_NAMED, lambda _: "@", _clear_local)
         if spoken:
             t.apply(_SAID, lambda _: "@")
             if "@" in t.text:

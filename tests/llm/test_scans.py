@@ -155,3 +155,21 @@ def test_spelled_digits_with_every_separator(gap):
 
 def test_words_that_only_case_folding_makes_digits():
     assert pii.find_pii("call one two three, one two ſix, fıve six seven now") == ([], [])
+
+
+@pytest.mark.parametrize("local", ["john.smith", "anna.schmidt", "user7", "bob123", "jane.doe", "a.b", "x_y", "first.middle.lastname", "bob+lists", "7of9", "j2"])
+@pytest.mark.parametrize("domain", ["example.com", "example.it", "example.co", "example.info", "mail.example.co.uk", "x.photography", "example.xn--p1ai"])
+def test_plain_at_after_a_clear_local_part(local, domain):
+    for shown in (f"{local} at {domain}", f"{local}  AT {domain}", f"{local}\u2003at\xa0\x1f{domain}"):
+        text = f"write ({shown}) or wait"
+        assert ("email", 7, 7 + len(shown)) in pii.find_pii(text)[1] and pii.masked(text) == "write ([EMAIL]) or wait"
+
+
+@pytest.mark.parametrize("text", ["read more at example.com", "in 2024 at example.com", "for 19.99 at example.com", "the 3rd at example.com, 5pm at example.com", "john.smith at home. Then", "user7 at work"])
+def test_plain_at_after_other_words(text):
+    assert pii.find_pii(text) == ([], []) and pii.masked(text) == text
+
+
+def test_plain_at_takes_linear_time():
+    for t in ("1a" * 1_000_000 + " at example.com", "a1 at " * 300_000, "a1 at b." * 200_000, "a1 at " + "b." * 500_000, "a1 at " + "b" * 1_000_000):
+        pii.find_pii(t)
