@@ -30,7 +30,8 @@ def include(df: DataFrame, name: str, lookup: Callable[[str], DataFrame | None],
     if field(ref, "$id").kind == "null" or field(ref, "$ref").kind == "null":
         return df
     if refs is None:
-        refs = [r[0] for r in df.select(field(ref, "$ref").col.alias("r")).where("r IS NOT NULL").distinct().limit(1000).collect()]
+        names = df.select(field(ref, "$ref").col.alias("r")).where("r IS NOT NULL").distinct()
+        refs = [r[0] for r in names.toLocalIterator() if lookup(r[0]) is not None]  # all names are asked for, only real ones are held
     out, made = df, []
     for k, target in enumerate(refs):
         found = lookup(target)

@@ -152,3 +152,19 @@ def test_terminals(spark):
     assert q.where("$._id = 3").single()._id == 3 and q.exists() and len(list(q.all())) == 10
     with pytest.raises(BindFault):
         q.single()
+
+
+def test_every_reference_name_is_looked_up(spark):
+    from folioq.operators.include import include
+
+    asked = set()
+    target = spark.createDataFrame([(1, "x")], "_id long, name string")
+
+    def lookup(name):
+        asked.add(name)
+        return target if name == "c1234" else None
+
+    ref = "named_struct('$id', 1L, '$ref', concat('c', id)) AS r"
+    out = include(spark.range(1500).selectExpr("id", ref), "r", lookup)
+    assert asked == {f"c{i}" for i in range(1500)}
+    assert [(r.id, r.r["name"]) for r in out.where("r.name IS NOT NULL").collect()] == [(1234, "x")]
