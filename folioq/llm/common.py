@@ -1,8 +1,11 @@
-"""What the operators of this package share: scratch tables, checked broadcasts, global numbering."""
+"""What the operators of this package share: scratch tables, checked broadcasts, spare column names, global numbering."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +19,50 @@ BROADCAST_ROWS = 100_000
 LOCAL_SCRATCH = "/tmp/checkpoints/folioq"
 
 
+#: Paths that `materialize` has written within the innermost `stage_tables`.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, or a local one where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The shared folder that the cluster names. A local folder only on a local master: on a cluster each executor would keep its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SCRATCH).rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """`df` written to the shared scratch folder and read again.
 
     This cuts the lineage (a lost executor costs no recomputation of what came before), keeps the
-    columnar format, and gives later plans true sizes. Tables stay until `clear_scratch`.
+    columnar format, and gives later plans true sizes. Tables stay until `clear_scratch`, or the end of `stage_tables`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/folioq-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what `materialize` has written within it, but for the paths taken out of the list that it gives."""
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield written
+    finally:
+        _WRITTEN.reset(token)
+        for path in written:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables; call it when no result that reads them is needed any longer."""
     jvm = spark._jvm
@@ -42,6 +72,27 @@ def clear_scratch(spark: SparkSession) -> None:
         fs.delete(status.getPath(), True)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """For each of `names` one that no column of `df` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast only if a count proves that it has at most `most` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -44,10 +44,14 @@ _MAP = str.maketrans(_LOOKALIKE)
 _HOMO = re.compile("[" + "".join(re.escape(c) for c in sorted(_LOOKALIKE)) + "]+")
 _HIDDEN = re.compile("[​-‍⁠﻿­]+")
 _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]{{1,3}})?{_DIGIT}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot)|\.)*?(?:[ ,-]{{1,3}}{_DIGIT}){{2}}(?:[ ,-]{{1,3}}(?:{_DIGIT}|dot))*(?![A-Za-z])", re.I | re.A)
-_SPELLED_WORD = re.compile(rf"{_DIGIT}|dot|plus", re.I | re.A)
-#: Quick looks at the lower-case bytes: is there any disguise to undo? A match of _SPELLED has the last two of its three digits in a row in it.
-_SPOKEN_DIGITS = re.compile(rf"[ ,-]{_DIGIT}[ ,-]{{1,3}}{_DIGIT}".encode())
+_GAP = r"(?:\.?[ ,-]{1,3}|\.)"
+#: A whole run of digit words. Its first word alone is a match, so a run is read once and never tried again from its middle.
+_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]{{1,3}})?{_DIGIT}(?:{_GAP}(?:{_DIGIT}|dot))*(?![A-Za-z])", re.I | re.A)
+_SPELLED_WORD = re.compile(rf"{_DIGIT}|dot|plus|\.(?![ ,-])", re.I | re.A)
+#: Digit words in a run that make it a number.
+LEAST_SPELLED = 3
+#: Quick looks at the lower-case bytes: is there any disguise to undo? A run of three digit words has one with a gap and a further word after it.
+_SPOKEN_DIGITS = re.compile(rf"{_DIGIT}{_GAP}(?:{_DIGIT}|dot)".encode())
 _LONG_NUMBER = re.compile(r"(?<![0-9+.])[0-9]{10,15}(?![0-9.])")
 _BRACKETED = re.compile(rb"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|[-_*](?:at|dot)[-_*]|&#64;|&commat;|%40")
 #: Of blanks and letters beyond ASCII any byte will do.
@@ -73,6 +77,7 @@ class Transduced:
 
     def __init__(self, text: str) -> None:
         self.text, self.steps = text, []
+        #: Long spelled numbers, by source characters: later steps move the text, not these.
         self.spoken: list[Span] = []
 
     def apply(self, pattern: re.Pattern, put: Callable[[str], str], only: Callable[[re.Match], bool] = bool) -> None:
@@ -145,7 +150,11 @@ def identifiers(text: str) -> list[Span]:
 
 def _spoken(run: str) -> str:
     words = [w.lower() for w in _SPELLED_WORD.findall(run)]
-    return "".join({"dot": ".", "plus": "+"}.get(w) or DIGIT_WORDS[w] for w in words)
+    return "".join({"dot": ".", ".": ".", "plus": "+"}.get(w) or DIGIT_WORDS[w] for w in words)
+
+
+def _is_number(m: re.Match) -> bool:
+    return sum(w.lower() in DIGIT_WORDS for w in _SPELLED_WORD.findall(m[0])) >= LEAST_SPELLED
 
 
 def _clear_local(m: re.Match) -> bool:
@@ -172,8 +181,11 @@ def normalised(text: str) -> Transduced:
         t.apply(_HOMO, lambda run: run.translate(_MAP))
     low = t.text.encode().lower()
     if _SPOKEN_DIGITS.search(low):
-        t.apply(_SPELLED, _spoken)
-        t.spoken = [("phone", *m.span()) for m in _LONG_NUMBER.finditer(t.text) if t.source(*m.span())[1] - t.source(*m.span())[0] >= 4 * len(m[0])] if t.steps else []
+        before = len(t.steps)
+        t.apply(_SPELLED, _spoken, _is_number)
+        if len(t.steps) > before:
+            found = ((m, t.source(*m.span())) for m in _LONG_NUMBER.finditer(t.text))
+            t.spoken = [("phone", *at) for m, at in found if at[1] - at[0] >= 4 * len(m[0])]
         low = t.text.encode().lower()
     spoken = b"dot" in low and _SPOKEN_DOT.search(low)
     spaced = b"@" in low and (b" @" in low or b"@ " in low)
@@ -198,10 +210,12 @@ def find_pii(text: str | None) -> tuple[list[Span], list[Span]]:
     t = normalised(text)
     if not t.steps:
         return base, []
+    ends = {k: {s: e for kind, s, e in base if kind == k} for k in KINDS}  # by kind base spans come by start and don't overlap
+    starts = {k: list(v) for k, v in ends.items()}
     more = []
-    for kind, start, end in identifiers(t.text) + t.spoken:
-        start, end = t.source(start, end)
-        if not any(k == kind and s <= start and end <= e for k, s, e in base):  # what reaches beyond a base span is told too
+    for kind, start, end in [(k, *t.source(s, e)) for k, s, e in identifiers(t.text)] + t.spoken:
+        at = bisect_right(starts[kind], start)
+        if not at or end > ends[kind][starts[kind][at - 1]]:  # what reaches beyond a base span is told too
             more.append((kind, start, end))
     return base, more
 
