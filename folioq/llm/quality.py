@@ -28,7 +28,7 @@ class QualitySpec:
     l2: float = 1e-4
     keep_grade: int = 1
     keep_p: float = 0.5
-    features: Features = field(default_factory=lambda: Features(bits=14, words=False, prefixes=(4,)))
+    features: Features = field(default_factory=lambda: Features(bits=16, prefixes=(4,)))
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,11 @@ def fit_ordinal(s: Sample, spec: QualitySpec) -> Ordinal:
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """doc_id and grade from quality and toxic marks: 0 for bad quality, 1 for good but toxic, 2 for good and clean."""
+    """doc_id and grade: how fit a document is for training, as one scale made of the two marks that a rater gave.
+
+    0, unfit: of bad quality, be it toxic or not, as nothing can be learnt from noise. 1, fit with reservations: good but toxic.
+    2, fit: good and clean. Each step up asks for all that the step before asks for, which is what makes the scale ordinal.
+    """
     grade: Column = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     grade = F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), grade)
     return labels.select("doc_id", grade.alias("grade"))
@@ -108,7 +112,10 @@ def score(docs: DataFrame, model: Ordinal, spec: QualitySpec = QualitySpec(), *,
 
 
 def selected_documents(docs: DataFrame, model: Ordinal, spec: QualitySpec = QualitySpec(), *, text: str = "text") -> DataFrame:
-    """The rows of `docs` that the model selects, with all their columns."""
+    """The rows of `docs` that the model selects, with all their columns, whatever their names.
+
+    Null, empty and very long texts are judged as `score` does; repeated rows stay or go together; an empty table gives none.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,25 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import Features, dot
-from .training import Sample, adam, sample, sigmoid
+from .training import Sample, logistic, sample, sigmoid
 
 
 @dataclass(frozen=True)
 class ChainSpec:
-    """most_rows bounds the training sample; features that fewer than `least_rows` of its rows have are left out,
-    and each model looks at most_features of the others."""
+    """most_rows bounds the training sample; the rarer class weighs up to `balance` times as much. The first category covers the
+    others, whose models see what the ones before them say of it."""
 
     categories: tuple[str, ...] = ("toxic", "toxic_prose", "toxic_noise")
     most_rows: int = 5000
-    least_rows: int = 5
     folds: int = 4
-    most_features: int = 4000
     balance: float = 4.0
-    steps: int = 120
-    rate: float = 0.4
-    l2: float = 2e-5
+    l2: float = 1e-4
     threshold: float = 0.5
-    features: Features = field(default_factory=lambda: Features(bits=19, prefixes=(4, 6), shapes=True, repeats=True))
+    features: Features = field(default_factory=lambda: Features(bits=19, prefixes=(4, 5, 6)))
 
 
 @dataclass(frozen=True)
@@ -47,51 +43,29 @@ class Link:
         return sigmoid(x + earlier @ self.before + self.constant)
 
 
-def _telling(s: Sample, here: np.ndarray, d: int, weight: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The `most` features whose presence differs most between the classes, against its standard error."""
-    has = lambda w: np.bincount(s.feature[here], w[s.row[here]], d)
+def _evidence(s: Sample, d: int, weight: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How much each feature's presence differs between the classes, against its standard error, scaled so that rows have a mean square
+    of 1. As factors of the values these let features with evidence take weight first; none is left out."""
     n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
-    a, b = has(weight * y) / n1, has(weight * (1 - y)) / n0
+    a, b = np.bincount(s.feature, (weight * y)[s.row], d) / n1, np.bincount(s.feature, (weight * (1 - y))[s.row], d) / n0
     z = np.abs(a - b) / np.sqrt(a * (1 - a) / n1 + b * (1 - b) / n0 + (0.5 / n1) ** 2)
-    return np.sort(np.argsort(-z, kind="stable")[:most])
+    mean = (weight[s.row] * (s.value * z[s.feature]) ** 2).sum() / weight.sum()
+    return z / np.sqrt(mean) if mean else np.ones(d)
 
 
 def _fit(s: Sample, d: int, y: np.ndarray, earlier: np.ndarray, rows: np.ndarray, spec: ChainSpec) -> Link:
-    """Weighted logistic regression on the rows that `rows` marks, over the features that tell most there; the rarer class weighs up
-    to `balance` times as much."""
-    k = earlier.shape[1]
-    here = rows[s.row]
-    share = y[rows].mean() if rows.any() else 0.0
+    """Weighted logistic regression on the rows that `rows` marks."""
+    n, share = int(rows.sum()), float(y[rows].mean()) if rows.any() else 0.0
     if share in (0.0, 1.0):  # nothing to tell apart
-        n = rows.sum()
-        return Link(np.zeros(d), np.zeros(k), float(np.log((share * n + 0.5) / ((1 - share) * n + 0.5))))
-    names = _telling(s, here, d, rows.astype(float), y, spec.most_features)
-    place = np.full(d, -1)
-    place[names] = np.arange(len(names))
-    here &= place[s.feature] >= 0
-    row, feature, value = s.row[here], place[s.feature[here]], s.value[here]
+        return Link(np.zeros(d), np.zeros(earlier.shape[1]), float(np.log((share * n + 0.5) / ((1 - share) * n + 0.5))))
     weight = np.where(y > 0, min(spec.balance, (1 - share) / share), 1.0) * rows
-    weight /= weight.sum()
-    m = len(names)
-
-    def slope(p: np.ndarray) -> np.ndarray:
-        x = dot(row, feature, value, p[:m], len(s)) + earlier @ p[m : m + k] + p[-1]
-        r = weight * (sigmoid(x) - y)
-        g = np.empty_like(p)
-        g[:m] = np.bincount(feature, value * r[row], m) + spec.l2 * p[:m]
-        g[m : m + k] = earlier.T @ r + spec.l2 * p[m : m + k]
-        g[-1] = r.sum()
-        return g
-
-    p = adam(slope, np.zeros(m + k + 1), spec.steps, spec.rate)
-    weights = np.zeros(d)
-    weights[names] = p[:m]
-    return Link(weights, p[m : m + k], float(p[-1]))
+    weights, more = logistic(s, d, earlier, y, weight / weight.sum(), _evidence(s, d, rows.astype(float), y), spec.l2)
+    return Link(weights, more[:-1], float(more[-1]))
 
 
 def fit_chain(full: Sample, spec: ChainSpec) -> list[Link]:
     """A model for each category, in order. Without rows all probabilities are 1/2, and nothing is over a threshold above that."""
-    names, s = full.compact(spec.least_rows)
+    names, s = full.compact()
     n, d = len(s), len(names)
     fold = np.arange(n) % spec.folds  # rows come by hash
     earlier = np.zeros((n, 0))
@@ -102,6 +76,8 @@ def fit_chain(full: Sample, spec: ChainSpec) -> list[Link]:
         weights = np.zeros(1 << spec.features.bits, np.float32)
         weights[names] = link.weights
         out.append(Link(weights, link.before, link.constant))
+        if c + 1 == len(spec.categories):
+            break
         unseen = np.zeros(n)
         for f in range(spec.folds):
             part = _fit(s, d, y, earlier, fold != f, spec)
@@ -112,7 +88,7 @@ def fit_chain(full: Sample, spec: ChainSpec) -> list[Link]:
 
 
 def categories(labels: DataFrame) -> DataFrame:
-    """doc_id and the marks of the chain: toxic; toxic in good prose; toxic in noise (bad quality)."""
+    """doc_id and the marks of the chain: toxic, which covers the others; toxic in good prose; toxic in noise (bad quality)."""
     toxic, good = F.col("toxic"), F.col("quality")
     return labels.select("doc_id", toxic.alias("toxic"), (toxic * good).alias("toxic_prose"), (toxic * (1 - good)).alias("toxic_noise"))
 
@@ -122,17 +98,21 @@ def train(docs: DataFrame, marked: DataFrame, spec: ChainSpec = ChainSpec(), *,
 
 
 def probabilities(texts: list[str | None], chain: list[Link], spec: ChainSpec) -> np.ndarray:
+    """A column for each category. The first covers the others, so it is as likely as the likeliest of them, whatever its own
+    model says: the verdict on it is that of the whole chain."""
+
     def of(row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, 0))
         for link in chain:
             out = np.column_stack([out, link.p(dot(row, feature, value, link.weights, n), out)])
+        out[:, 0] = out.max(axis=1)
         return out
 
     return spec.features.each(texts, of)
 
 
 def score(docs: DataFrame, chain: list[Link], spec: ChainSpec = ChainSpec(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, p_<category> for each category, and flagged (the first one over the threshold), for every row of `docs`.
+    """doc_id, p_<category> for each category, and flagged (the first, which is as likely as the likeliest, is over the threshold), for every row of `docs`.
 
     A null text counts as empty; texts without words score by the constants alone. Ids may be null or repeated; every row is
     scored by itself, over its whole text; a probability at the threshold is not over it. An empty table gives no rows; other columns are not read.
