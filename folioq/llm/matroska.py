@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 # Element ids of EBML and Matroska.
 EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
 SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -299,7 +301,7 @@ def packet_table(media: DataFrame, *, data: str = "media", key: str = "doc_id")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return media.select(F.col(key).cast("string").alias("key"), F.col(data).cast("binary").alias("data")).mapInArrow(run, schema)
+    return media.select(named(key).cast("string").alias("key"), named(data).cast("binary").alias("data")).mapInArrow(run, schema)
 
 
 def stored(text: str | None) -> tuple[bytes, int]:
@@ -345,5 +347,5 @@ def text_media(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -
             cols = list(zip(*(one(t.as_py()) for t in b.column(1)))) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     return src.mapInArrow(run, schema)

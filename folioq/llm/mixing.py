@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import broadcast_if_small, materialize, numbered, word_count
+from .common import broadcast_if_small, columns_of, materialize, named, numbered, spare, word_count
 
 HASH_BITS = 60
 LEVEL_BITS = 10
@@ -29,9 +29,9 @@ class MixSpec:
 
 def sized(docs: DataFrame, spec: MixSpec) -> tuple[Column, Column]:
     """Size in words, and a 60-bit hash that depends on the row's id and text only."""
-    text = F.coalesce(F.col(spec.text), F.lit(""))
-    seed = F.concat(F.coalesce(F.col(spec.doc_id).cast("string"), F.lit("")), F.lit("/"), F.md5(text))
-    return word_count(F.col(spec.text)), F.conv(F.substring(F.md5(seed), 1, 15), 16, 10).cast("long")
+    text = F.coalesce(named(spec.text), F.lit(""))
+    seed = F.concat(F.coalesce(named(spec.doc_id).cast("string"), F.lit("")), F.lit("/"), F.md5(text))
+    return word_count(named(spec.text)), F.conv(F.substring(F.md5(seed), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, spec: MixSpec) -> DataFrame:
@@ -107,7 +107,7 @@ def mix_thresholds(slim: DataFrame, spec: MixSpec) -> DataFrame:
 
 def _slim(docs: DataFrame, spec: MixSpec) -> DataFrame:
     size, h = sized(docs, spec)
-    return docs.select(F.col(spec.doc_id).alias("doc_id"), F.col(spec.source).alias("source"), size.alias("size"), h.alias("h"))
+    return docs.select(named(spec.doc_id).alias("doc_id"), named(spec.source).alias("source"), size.alias("size"), h.alias("h"))
 
 
 def _copies() -> Column:
@@ -128,15 +128,14 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """The mix itself: rows of `docs`, with their columns, as often as the mix takes them.
+    """The mix itself: rows of `docs`, with their columns, whatever their names, as often as the mix takes them.
 
-    Rows of size 0 cannot bring a source nearer to a target and follow their hash like any other row.
+    Rows of size 0 (null and empty texts) cannot bring a source nearer to a target and follow their hash like any other row. Null sources
+    form one source. Rows with equal id and text share a hash and are taken together. An empty table gives no rows.
     """
-    slim = materialize(_slim(docs, spec))
-    cuts = mix_thresholds(slim, spec).withColumnRenamed("source", "__s")
-    cuts = cuts.select("__s", F.col("repeats").alias("__repeats"), F.col("threshold").alias("__threshold"))
-    _, h = sized(docs, spec)
-    out = docs.join(broadcast_if_small(cuts), F.col(spec.source).eqNullSafe(F.col("__s")), "left")
-    copies = F.col("__repeats") + F.when(h < F.col("__threshold"), 1).otherwise(0)
-    out = out.withColumn("__copies", copies).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    s, repeats, threshold, copy = spare(docs, "__s", "__repeats", "__threshold", "__copy")
+    cuts = mix_thresholds(materialize(_slim(docs, spec)), spec)
+    cuts = broadcast_if_small(cuts.select(F.col("source").alias(s), F.col("repeats").alias(repeats), F.col("threshold").alias(threshold)))
+    copies = F.col(repeats) + F.when(sized(docs, spec)[1] < F.col(threshold), 1).otherwise(0)
+    out = docs.join(cuts, named(spec.source).eqNullSafe(F.col(s)), "left").where(copies > 0)
+    return out.select(*columns_of(docs), F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(copy)).drop(copy)

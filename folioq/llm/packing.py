@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, named, word_count
 
 
 @dataclass(frozen=True)
@@ -79,15 +79,17 @@ def best_fit(size: np.ndarray, source: np.ndarray, n_sources: int, cluster: np.n
 
 
 def pieces(docs: DataFrame, spec: PackSpec) -> DataFrame:
-    """doc_id, source, cluster (equal texts up to the case of letters; null for null), piece, start, size: whole documents; those over
-    the capacity in as many full pieces as they have, and the rest."""
-    text = F.col(spec.text)
-    cluster = F.when(text.isNotNull(), F.xxhash64(F.lower(text)))
-    slim = docs.select(F.col(spec.doc_id).cast("long").alias("doc_id"), F.col(spec.source).cast("string").alias("source"), cluster.alias("cluster"), word_count(text).alias("__n"))
+    """doc_id, source, cluster (texts of the same words up to the case of letters; null for null), place, piece, start, size: whole documents; those over
+    the capacity in as many full pieces as they have, and the rest. place tells rows apart that are alike in all."""
+    text = named(spec.text)
+    words = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
+    cluster = F.when(text.isNotNull(), F.xxhash64(words))
+    place = F.shiftright(F.monotonically_increasing_id(), 8)
+    slim = docs.select(named(spec.doc_id).cast("long").alias("doc_id"), named(spec.source).cast("string").alias("source"), cluster.alias("cluster"), place.alias("place"), word_count(text).alias("__n"))
     last = F.greatest(F.ceil(F.col("__n") / spec.capacity), F.lit(1)) - 1
     cut = slim.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     start = F.col("piece") * spec.capacity
-    return cut.select("doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.col("__n") - start, F.lit(spec.capacity)).alias("size"))
+    return cut.select("doc_id", "source", "cluster", "place", "piece", start.alias("start"), F.least(F.col("__n") - start, F.lit(spec.capacity)).alias("size"))
 
 
 def pack(docs: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
@@ -95,13 +97,13 @@ def pack(docs: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
 
     No bin is over the capacity, nor holds two pieces of one source or of one duplicate cluster. Pieces are dealt by hash into parts of about part_rows, and
     packed part by part, largest first (ties: by doc_id, then piece); pieces in different parts never share a bin, so conflicts hold overall. A hot source
-    or cluster is spread over all parts. Null sources and clusters conflict with nothing. Documents without words (and null texts) are one piece of size 0
+    or cluster, and copies of one row, are spread over all parts, as the deal also goes by where in the table a row stands. Null sources and clusters conflict with nothing. Documents without words (and null texts) are one piece of size 0
     with a null bin. Ids may be null or repeated; equal rows are pieces of their own. An empty table gives no rows; other columns are not read.
     """
     cut = materialize(pieces(docs, spec))
     full = cut.where("size > 0")
     parts = max(1, -(-full.count() // spec.part_rows))
-    part = F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(parts))
+    part = F.pmod(F.xxhash64("doc_id", "cluster", "piece", "place"), F.lit(parts))
     schema = "doc_id long, piece long, start long, size long, bin long"
     capacity = spec.capacity
 

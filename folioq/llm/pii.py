@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, rows_in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -260,19 +262,15 @@ def pii_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return src.mapInArrow(run, schema)
 
 
 def masked_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """`docs` with personal data masked in `text`; all other columns and all rows as they are. Null texts stay null."""
-    names = docs.columns
-    at = names.index(text)
+    """`docs` with personal data masked in `text`; all other columns, whatever their names, and all rows as they are.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = pa.array([masked(t.as_py()) for t in b.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], names)
-
-    return docs.mapInArrow(run, docs.schema)
+    Null texts stay null, empty ones empty; repeated rows are masked alike; an empty table gives no rows.
+    """
+    at = docs.columns.index(text)
+    return rows_in_arrow(docs, lambda b: b.set_column(at, "text", pa.array([masked(t.as_py()) for t in b.column(at)], pa.string())))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, rows_in_arrow
 from .features import Features, dot
 from .training import Sample, adam, sample, sigmoid
 
@@ -107,7 +108,7 @@ def score(docs: DataFrame, model: Ordinal, spec: QualitySpec = QualitySpec(), *,
             cols = [tails.sum(axis=1), p, each.argmax(axis=1).astype(np.int32), p >= spec.keep_p]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["doc_id", "expected_grade", "p_tail", "grade", "selected"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, expected_grade double, p_tail double, grade int, selected boolean")
 
 
@@ -118,9 +119,8 @@ def selected_documents(docs: DataFrame, model: Ordinal, spec: QualitySpec = Qual
     """
     at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = linear(b.column(at).to_pylist(), model, spec)
-            yield b.filter(pa.array(model.tails(x)[:, spec.keep_grade - 1] >= spec.keep_p))
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = linear(b.column(at).to_pylist(), model, spec)
+        return b.filter(pa.array(model.tails(x)[:, spec.keep_grade - 1] >= spec.keep_p))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_in_arrow(docs, run)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = ("assign", "access", "hex")
 Span = tuple[str, int, int]
@@ -102,6 +104,6 @@ def secret_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return src.mapInArrow(run, schema)

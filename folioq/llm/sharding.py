@@ -3,79 +3,109 @@
 from __future__ import annotations
 
 import heapq
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
 
-from .common import materialize
+from .common import broadcast_if_small, materialize, named, numbered
 
-#: A group of at least 1/HEAVY of all bytes is scheduled by itself, so there are at most HEAVY of those.
-HEAVY = 16_384
-#: All lighter groups are dealt by hash into this many bundles, which are scheduled like groups.
-BUNDLES = 8_192
 #: Rows that are numbered together at most, about, and the least number of such chunks a shard.
 CHUNK_ROWS, CHUNKS = 200_000, 16
+#: A group with at least 1/HOT of all rows is broadcast, so there are at most HOT of those; rows of the others meet their group by a shuffle.
+HOT = 2048
 PER_GROUP = 16
 
 
-def longest_first(units: list[tuple[int, tuple]], shards: int) -> dict[tuple, int]:
-    """Units (size, key), largest first, each to the shard with the least load so far (a heap)."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for size, key in sorted(units, key=lambda u: (-u[0], u[1])):
-        load, shard = heapq.heappop(heap)
-        out[key] = shard
-        heapq.heappush(heap, (load + size, shard))
+class Loads:
+    """The shards' loads, and who takes the next group: the least loaded one (ties: the lower number), by a heap."""
+
+    def __init__(self, shards: int) -> None:
+        self.heap = [(0, s) for s in range(shards)]
+
+    def deal(self, size: int, count: int) -> list[tuple[int, int]]:
+        """`count` groups of one size, one after the other to the least-loaded shard: (shard, how many), by shard.
+
+        Many at once need no step for each. Shard i's turns are at the loads L_i, L_i + size, ...; the `count` least of all
+        these turns are taken, so the highest level up to which all are taken tells the rest.
+        """
+        took = dict.fromkeys(range(len(self.heap)), 0)
+        if count > 8 * len(self.heap):
+            loads = {s: load for load, s in self.heap}
+            turns = lambda level: sum(max(0, -((load - level) // size)) for load in loads.values())
+            low, high = min(loads.values()), max(loads.values()) + size * count
+            while high - low > 1:  # turns(low) <= count < turns(high)
+                level = (low + high) // 2
+                low, high = (level, high) if turns(level) <= count else (low, level)
+            for s, load in loads.items():
+                took[s] = max(0, -((load - low) // size))
+            count -= sum(took.values())
+            self.heap = [(load + took[s] * size, s) for s, load in loads.items()]
+            heapq.heapify(self.heap)
+        for _ in range(count):
+            load, s = self.heap[0]
+            heapq.heapreplace(self.heap, (load + size, s))
+            took[s] += 1
+        return [(s, n) for s, n in took.items() if n]
+
+
+def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, list[int], list[int]]]:
+    """The longest-processing-time schedule of (size, number of groups): for each size, largest first, (size, groups before it, shards,
+    up to which of its groups each shard takes)."""
+    loads, before, out = Loads(shards), 0, []
+    for size, count in sorted(sizes, reverse=True):
+        dealt = loads.deal(size, count)
+        out.append((size, before, [s for s, _ in dealt], list(accumulate(n for _, n in dealt))))
+        before += count
     return out
 
 
 def shard(docs: DataFrame, shards: int = 40, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
-    Rows with equal texts form a group and stay together. Groups, largest first, go to the shard with the
-    least bytes. The schedule is made on the driver, over at most HEAVY groups and BUNDLES bundles whatever
-    the table's size: a group of at least 1/HEAVY of all bytes is a unit by itself; lighter groups, which are too
-    many to be brought together, are bundled by hash. Slots are numbered in chunks of a shard by a hash of
-    the row, so no task holds a whole shard.
+    Rows with equal texts form a group and stay together. Groups, largest first, go to the shard with the least bytes. Groups of
+    equal size are interchangeable, so the driver needs no more than how many there are of each size: sizes that differ add up to
+    all bytes at most, so these are sqrt(2 * bytes) at most (14 million for 100 TB), however many groups there are. Which of a
+    size's groups go where is told by their number in the order of their hash. Slots are numbered in chunks of a shard by a hash of the row
+    and of where it stands in the table, so no task holds a whole shard, or all rows of one id.
 
     A null text has size 16, CRC 0, and groups with other null texts; an empty text is another group of that kind. Ids
     may be null or repeated; rows alike in all are numbered in any order, which gives the same rows. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    t = F.col(text)
+    t = named(text)
     slim = docs.select(
-        F.col(doc_id).alias("doc_id"),
+        named(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + PER_GROUP).alias("size"),
         F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(F.coalesce(t, F.lit("")), t.isNull()).alias("__group"),
+        F.shiftright(F.monotonically_increasing_id(), 12).alias("__place"),
     )
     slim = materialize(slim)
-    bundle = F.pmod(F.col("__group"), F.lit(BUNDLES)).cast("int")
     groups = materialize(slim.groupBy("__group").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__rows")))
-    total, rows = groups.agg(F.sum("__bytes"), F.sum("__rows")).first()
-    heavy = F.col("__bytes") * HEAVY >= F.lit(total or 0)
-    big = groups.where(heavy).select("__group", "__bytes").collect()  # at most HEAVY rows
-    rest = groups.where(~heavy).groupBy(bundle.alias("__bundle")).agg(F.sum("__bytes").alias("__bytes")).collect()  # at most BUNDLES rows
-    put = longest_first([(r[1], (0, r[0])) for r in big] + [(r[1], (1, r[0])) for r in rest], shards)
-
-    schema = T.StructType([T.StructField("__group", T.LongType()), T.StructField("__big", T.IntegerType())])
-    of_group = spark.createDataFrame([(k, s) for (kind, k), s in put.items() if kind == 0], schema)
-    of_bundle = [put.get((1, b), 0) for b in range(BUNDLES)]
-    schema = T.StructType([T.StructField("__bundle", T.IntegerType()), T.StructField("__light", T.IntegerType())])
-    of_bundle = spark.createDataFrame(list(enumerate(of_bundle)), schema)
-    placed = slim.join(F.broadcast(of_group), "__group", "left").withColumn("__bundle", bundle)
-    placed = placed.join(F.broadcast(of_bundle), "__bundle", "left").withColumn("shard", F.coalesce("__big", "__light"))
-
-    chunks = max(CHUNKS, -(-(rows or 0) // (CHUNK_ROWS * shards)))
-    placed = placed.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "__group"), F.lit(chunks)).cast("int"))
-    placed = materialize(placed.select("doc_id", "size", "text_crc32", "shard", "__chunk", "__group"))
-    counts = placed.groupBy("shard", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = groups.groupBy("__bytes").count().toArrow()  # at most sqrt(2 * bytes) rows
+    plan = schedule(list(zip(*(c.to_pylist() for c in sizes.columns))), shards)
+    rows = slim.count()
+    kinds = "__bytes long, __before long, __shards array<int>, __upto array<long>"
+    plan = broadcast_if_small(materialize(spark.createDataFrame(plan, kinds)))
+    ranked = numbered(groups, [F.desc("__bytes"), F.col("__group")], "__at").join(plan, "__bytes")
+    place = F.size(F.filter("__upto", lambda n: n <= F.col("__at") - F.col("__before")))
+    placed = materialize(ranked.select("__group", F.get("__shards", place).alias("shard"), (F.col("__rows") * HOT >= rows).alias("__hot")))
+
+    hot = F.broadcast(placed.where("__hot").drop("__hot"))  # at most HOT rows
+    rest = broadcast_if_small(placed.where("NOT __hot").drop("__hot"))
+    told = slim.join(hot, "__group", "left")
+    told = told.where("shard IS NOT NULL").unionByName(told.where("shard IS NULL").drop("shard").join(rest, "__group"))
+
+    chunks = max(CHUNKS, -(-rows // (CHUNK_ROWS * shards)))
+    chunk = F.pmod(F.xxhash64("doc_id", "__group", "__place"), F.lit(chunks)).cast("int")
+    told = materialize(told.select("doc_id", "size", "text_crc32", "shard", chunk.alias("__chunk"), "__group"))
+    counts = told.groupBy("shard", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(W.partitionBy("shard").orderBy("__chunk")) - F.col("__n")
     counts = counts.select("shard", "__chunk", before.alias("__before"))
     local = F.row_number().over(W.partitionBy("shard", "__chunk").orderBy("doc_id", "__group")) - 1
-    out = placed.withColumn("__local", local).join(counts, ["shard", "__chunk"])
+    out = told.withColumn("__local", local).join(broadcast_if_small(counts), ["shard", "__chunk"])
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("__local") + F.col("__before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
 from .features import Features, dot
 from .training import Sample, logistic, sample, sigmoid
 
@@ -125,5 +126,5 @@ def score(docs: DataFrame, chain: list[Link], spec: ChainSpec = ChainSpec(), *,
             cols = [pa.array(c) for c in p.T] + [pa.array(p[:, 0] > spec.threshold)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in names[1:-1]) + ", flagged boolean")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
 from .features import Features
 
 
@@ -44,7 +45,7 @@ def sample(docs: DataFrame, labels: DataFrame, targets: list[str], features: Fea
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *targets)
     known = labels.dropna(subset=["doc_id", *targets]).groupBy("doc_id").agg(*[F.min(t).cast("double").alias(t) for t in targets])
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     rows = src.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.array(*targets).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
