@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, columns_of, materialize, named, spare
 from .components import components
 
 #: Fixed by the ring: segment widths, and the differing bits allowed after l segments of a chain.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", doc_i
             fps = [signed(majority(shingle_hashes(words_of(t.as_py()), shingle))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    src = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -88,9 +88,11 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", doc_i
 class Sketch:
     """How the pipeline compares documents: a pair is proposed if it shares the least hashes of one of `bands` bands of `rows` hash
     functions over `shingle`-word shingles, and linked if the Jaccard similarity of its shingle sets, counted in full, is `similarity`
-    or more. A pair of similarity j is proposed with probability 1 - (1 - j^rows)^bands, whatever the edit that parts its texts."""
+    or more. A pair of similarity j is proposed with probability 1 - (1 - j^rows)^bands, whatever the edit that parts its texts.
+    The `first` bands come in a round of their own."""
 
     bands: int = 40
+    first: int = 8
     rows: int = 7
     shingle: int = 5
     similarity: float = 0.8
@@ -114,21 +116,36 @@ def band_values(shingles: np.ndarray, sketch: Sketch) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least)]
 
 
-def sketches(docs: DataFrame, sketch: Sketch, keys: tuple[Column, ...] = ()) -> DataFrame:
-    """doc_id, id (a hash of the shingle set), bands and the set of shingles' hashes of `docs` (doc_id, text); `keys` are columns
-    (k, z) to go along."""
+def set_id(shingles: np.ndarray) -> int:
+    """A hash of a set of shingles."""
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+
+
+def sketches(keyed: DataFrame, sketch: Sketch) -> DataFrame:
+    """`keyed` (k, z, text) without its texts, but with the id of each one's shingle set and its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, bands = [], []
+            for t in b.column(2):
+                shingles = np.unique(shingle_hashes(words_of(t.as_py()), sketch.shingle))
+                ids.append(set_id(shingles))
+                bands.append(band_values(shingles, sketch))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["k", "z", "id", "bands"])
+
+    return keyed.mapInArrow(run, "k long, z boolean, id long, bands array<long>")
+
+
+def shingle_sets(keyed: DataFrame, sketch: Sketch) -> DataFrame:
+    """id and shingles (sorted, distinct hashes) of the texts of `keyed` (k, z, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()), sketch.shingle)) for t in b.column(1)]
-            ids = pa.array([signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
-            cols = [ids, pa.array([band_values(s, sketch) for s in sets], kind), pa.array([s.view(np.int64) for s in sets], kind)]
-            names = ["doc_id", *b.schema.names[2:], "id", "bands", "shingles"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *cols], names)
+            sets = [np.unique(shingle_hashes(words_of(t.as_py()), sketch.shingle)) for t in b.column(2)]
+            cols = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "shingles"])
 
-    also = "k long, z boolean, " if keys else ""
-    return docs.select("doc_id", "text", *keys).mapInArrow(run, f"doc_id long, {also}id long, bands array<long>, shingles array<long>")
+    return keyed.mapInArrow(run, "id long, shingles array<long>")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -157,19 +174,9 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
-def shingle_links(slim: DataFrame, sketch: Sketch) -> DataFrame:
-    """Edges (u, v) between ids of `slim` (id, bands, shingles) that join the components of all pairs that share a band's value and are alike.
-
-    Bands' values with the same members are searched once. Sets are dealt out only where a value has more than one member.
-    """
-    dealt = materialize(slim.groupBy("id").agg(F.first("bands").alias("bands"))).select("id", F.explode("bands").alias("b"))
-    who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    shared = dealt.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *who).where("n > 1")
-    shared = materialize(shared.groupBy("n", "x1", "x2").agg(F.min("b").alias("b")).select("b"))
-    members = materialize(dealt.join(broadcast_if_small(shared), "b"))
-    ids = materialize(members.select("id").distinct())
-    sets = slim.select("id", "shingles").join(broadcast_if_small(ids), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    rows = members.join(materialize(sets), "id").select("b", "id", "shingles").repartition("b").sortWithinPartitions("b")
+def shingle_links(members: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
+    """Edges (u, v) between ids that join the components of all pairs that share a value and are alike. members: (b, id), sets: (id, shingles)."""
+    rows = members.join(sets, "id").select("b", "id", "shingles").repartition("b").sortWithinPartitions("b")
 
     def found(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         label = alike(sets, sketch.similarity)
@@ -193,6 +200,35 @@ def shingle_links(slim: DataFrame, sketch: Sketch) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def shingle_components(slim: DataFrame, keyed: DataFrame, sketch: Sketch) -> DataFrame:
+    """(node, root) of the components of all pairs of ids that share a band's value and are alike. slim: (k, z, id, bands), keyed: (k, z, text).
+
+    Bands are looked at in two rounds. A value whose members the first round has joined has nothing to add, so the second
+    looks only at values that bring unlike components together; and values with the same members are looked at once.
+    Shingles are made anew from the texts, but only of one text for each id that shares a value with another.
+    """
+    dealt = materialize(slim.groupBy("id").agg(F.first("bands").alias("bands"))).select("id", F.posexplode("bands").alias("band", "b"))
+    reps = materialize(slim.groupBy("id").agg(F.min(F.struct("z", "k")).alias("rep")))
+    edges, roots = [], None
+    for band in (F.col("band") < sketch.first, F.col("band") >= sketch.first):
+        part = dealt.where(band).select("id", "b")
+        if roots is None:
+            part = part.withColumn("root", F.col("id"))
+        else:
+            part = part.join(broadcast_if_small(roots), part.id == roots.node, "left").select("id", "b", F.coalesce("root", "id").alias("root"))
+        who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+        shared = part.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), *who).where("lo <> hi")
+        shared = materialize(shared.groupBy("n", "x1", "x2").agg(F.min("b").alias("b")).select("b"))
+        members = materialize(part.select("b", "id").join(broadcast_if_small(shared), "b"))
+        wanted = materialize(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "rep.k", "rep.z"))
+        texts = keyed.join(broadcast_if_small(wanted.select("k", "z").distinct()), ["k", "z"], "left_semi")
+        sets = shingle_sets(texts, sketch).join(broadcast_if_small(wanted.select("id")), "id", "left_semi")
+        sets = materialize(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
+        edges.append(materialize(shingle_links(members, sets, sketch)))
+        roots = materialize(components(edges[0] if len(edges) == 1 else edges[0].unionAll(edges[1])))
+    return roots
+
+
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the components of a[i] and b[i]; label[x] is the least position in x's component."""
     while True:
@@ -306,8 +342,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, text: str = "text", do
     slim = materialize(fingerprints(docs, shingle=shingle, text=text, doc_id=doc_id))
     reps = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     nodes = reps.select(F.col("fp").alias("id"), F.array("fp").alias("w"), F.array().cast("array<long>").alias("s"))
-    named = _component_ids(reps.withColumnRenamed("fp", "id"), components(links(nodes)))
-    out = slim.join(named.withColumnRenamed("id", "fp"), "fp")
+    told = _component_ids(reps.withColumnRenamed("fp", "id"), components(links(nodes)))
+    out = slim.join(told.withColumnRenamed("id", "fp"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -321,32 +357,32 @@ def _component_ids(reps: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, sketch: Sketch, text: str, doc_id: str) -> DataFrame:
-    """For every row: doc_id, its key (k, z) and the least key of its group (ck, cz). The key is the id, and z false; without an
+    """For every row: its key (k, z) and the least key of its group (ck, cz). The key is the id, and z false; without an
     id it is a hash of the text, and z true, so that such rows come after all others."""
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    k, z = row_key("doc_id", "text")
-    slim = sketches(src, sketch, keys=(k.alias("k"), z.alias("z")))
-    slim = materialize(slim)
+    k, z = row_key(doc_id, text)
+    keyed = docs.select(k.alias("k"), z.alias("z"), named(text).cast("string").alias("text"))
+    slim = materialize(sketches(keyed, sketch))
     reps = materialize(slim.groupBy("id").agg(F.min(F.struct("z", "k")).alias("rep")))
-    found = components(shingle_links(slim, sketch))
-    named = _component_ids(reps, found)
-    out = slim.select("doc_id", "k", "z", "id").join(named, "id")
-    return out.select("doc_id", "k", "z", F.col("component_id.k").alias("ck"), F.col("component_id.z").alias("cz"))
+    told = _component_ids(reps, shingle_components(slim, keyed, sketch))
+    out = slim.select("k", "z", "id").join(told, "id")
+    return out.select("k", "z", F.col("component_id.k").alias("ck"), F.col("component_id.z").alias("cz"))
 
 
 def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text))), F.col(doc_id).isNull()
+    """A row's id, or without one a hash of its text; and whether it has none."""
+    return F.coalesce(named(doc_id).cast("long"), F.xxhash64(named(text).cast("string"))), named(doc_id).isNull()
 
 
 def near_groups(docs: DataFrame, sketch: Sketch = Sketch(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and component_id, by `sketch`; nulls, ties, repeated rows and empty tables as for near_duplicates."""
     marked = _marked(docs, sketch, text, doc_id)
-    return marked.select("doc_id", F.when(~F.col("cz"), F.col("ck")).alias("component_id"))
+    return marked.select(F.when(~F.col("z"), F.col("k")).alias("doc_id"), F.when(~F.col("cz"), F.col("ck")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, sketch: Sketch = Sketch(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with one row of each group: that with the least doc_id, or if all its ids are null that with the least hash
-    of its text. Of rows with one id, one stays; documents without words form one group.
+    """`docs`, with all its columns, whatever their names, and one row of each group: that with the least doc_id, or if all its ids are null that
+    with the least hash of its text. Of rows with one id one stays, that with the least hash of its text and then of its other columns, so that reruns
+    agree; documents without words form one group, null texts among them. An empty table gives no rows.
 
     Only keys are shuffled: the rows that go are few beside those that stay, and are broadcast if a count shows that they fit. Beyond that the
     texts are shuffled once, by key.
@@ -354,12 +390,15 @@ def deduplicated(docs: DataFrame, sketch: Sketch = Sketch(), *, text: str = "tex
     marked = _marked(docs, sketch, text, doc_id)
     first = (F.col("k") == F.col("ck")) & (F.col("z") == F.col("cz"))
     keys = materialize(marked.groupBy("k", "z").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("n")))
-    key = lambda df: df.select(F.col("k").alias("__k"), F.col("z").alias("__z"))
+    kn, zn, rk, rz, row = spare(docs, "__k", "__z", "__rk", "__rz", "__row")
+    key = lambda df: df.select(F.col("k").alias(kn), F.col("z").alias(zn))
     again = key(keys.where("first AND n > 1"))
     k, z = row_key(doc_id, text)
-    here = (k == F.col("__k")) & (z == F.col("__z"))
+    here = (k == F.col(kn)) & (z == F.col(zn))
     out = docs.join(broadcast_if_small(key(keys.where("NOT first OR n > 1"))), here, "left_anti")
     if again.isEmpty():
         return out
-    some = docs.withColumns({"__rk": k, "__rz": z}).join(broadcast_if_small(again), here, "left_semi")
-    return out.unionAll(some.dropDuplicates(["__rk", "__rz"]).drop("__rk", "__rz"))
+    hashed = [named(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no order, hence no hash
+    least = F.min_by(F.struct(*columns_of(docs)), F.struct(F.xxhash64(named(text)), F.xxhash64(*hashed)))
+    some = docs.join(broadcast_if_small(again), here, "left_semi")
+    return out.unionAll(some.groupBy(k.alias(rk), z.alias(rz)).agg(least.alias(row)).select(f"{row}.*"))

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -5,7 +6,7 @@ import pytest
 from compare import of_frame, of_sql
 from helpers import awkward, nothing
 
-from folioq.llm import mixing, queries, sharding
+from folioq.llm import common, matroska, mixing, packing, pii, quality, queries, secrets, sharding, simhash
 from folioq.llm.mixing import MixSpec
 
 SF = "/root/testdata/sf0.001"
@@ -72,10 +73,28 @@ def test_hot_boundary_is_refined(spark):
     assert (cuts.repeats, cuts.source_size, cuts.threshold) == (0, 1500, (1 << 59) + 249 * 5 + 1)
 
 
-def test_lpt():
-    put = sharding.longest_first([(s, (i,)) for i, s in enumerate([7, 7, 6, 6, 5, 5, 4, 4, 4])], 3)
-    loads = [sum([7, 7, 6, 6, 5, 5, 4, 4, 4][k[0]] for k, s in put.items() if s == j) for j in range(3)]
-    assert sorted(loads) == [15, 15, 18] or max(loads) - min(loads) <= 4
+def by_hand(sizes, n):
+    """Longest first, each to the least loaded: how many of each size each shard takes, and the loads."""
+    loads, took = [0] * n, {}
+    for size in sorted(sizes, reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += size
+        took[size, s] = took.get((size, s), 0) + 1
+    return took, loads
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 40])
+def test_lpt(n):
+    rng = random.Random(n)
+    for most, kinds in ((30, 20), (2000, 4), (700, 60), (5000, 1)):
+        sizes = [(rng.randrange(1, 500), rng.randrange(1, most)) for _ in range(kinds)]
+        sizes = list(dict(sizes).items())
+        got = {}
+        for size, before, shards, upto in sharding.schedule(sizes, n):
+            assert before == sum(c for s, c in sizes if s > size)
+            for s, a, z in zip(shards, [0, *upto], upto):
+                got[size, s] = z - a
+        assert got == by_hand([s for s, c in sizes for _ in range(c)], n)[0]
 
 
 def check_shards(rows, src, n):
@@ -98,24 +117,58 @@ def test_shards_awkward(spark):
     assert sharding.shard(nothing(spark)).count() == 0
 
 
-def test_shards_are_the_heap_schedule(spark, monkeypatch):
-    df = spark.range(3000).selectExpr("id doc_id", "repeat('x', cast(1 + (id * id) % 977 as int)) text")
+@pytest.mark.parametrize("n", [300, 40_000])
+def test_shards_are_the_heap_schedule(spark, monkeypatch, n):
+    """At any size the loads are those of the schedule made by hand, group by group."""
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 10)
+    df = spark.range(n).selectExpr("id doc_id", "concat(repeat('x', cast(1 + (id * id) % 977 as int)), id % 20011) text").unionAll(spark.range(n // 3).selectExpr("cast(null as long)", "'hot'"))
     groups = {}
-    for r in df.collect():
+    for r in (src := df.collect()):
         groups[r.text] = groups.get(r.text, 0) + len(r.text) + 16
-    loads = [0] * 7
-    for size in sorted(groups.values(), reverse=True):
-        loads[loads.index(min(loads))] += size
-    got = {}
-    for r in sharding.shard(df, 7).collect():
-        got[r.shard] = got.get(r.shard, 0) + r.size
-    assert sorted(got.values()) == sorted(loads)  # few groups: each is a unit by itself
-    monkeypatch.setattr(sharding, "HEAVY", 50)
-    monkeypatch.setattr(sharding, "BUNDLES", 64)
-    monkeypatch.setattr(sharding, "CHUNK_ROWS", 10)
     rows = sharding.shard(df, 7).collect()
-    check_shards(rows, df.collect(), 7)
-    got = {}
+    check_shards(rows, src, 7)
+    got, of = [0] * 7, {}
     for r in rows:
-        got[r.shard] = got.get(r.shard, 0) + r.size
-    assert max(got.values()) - min(got.values()) < 0.1 * sum(got.values()) / 7
+        got[r.shard] += r.size
+        assert of.setdefault((r.text_crc32, r.size), r.shard) == r.shard
+    assert got == by_hand(groups.values(), 7)[1]
+
+
+def test_copies_of_one_row_are_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 1000)
+    df = spark.range(200_000).selectExpr("cast(null as long) doc_id", "'same' text")
+    slots = [r.slot for r in sharding.shard(df, 3).collect()]
+    assert sorted(slots) == list(range(200_000))
+
+
+RESERVED = ("__s", "__threshold", "__repeats", "__copies", "__copy", "__k", "__z", "__rk", "__rz", "__hash", "__row")
+
+
+def with_odd_columns(spark):
+    """Names that operators use themselves, a dot, a blank and a backtick, and ids of another whole type."""
+    odd = [*RESERVED, "a.b", "c d", "e`f"]
+    rows = [(i % 25, f"w{i % 10} one two three four five six seven", f"s{i % 3}", *range(i, i + len(odd))) for i in range(40)]
+    names = ["doc_id int", "text string", "source string", *(f"`{c.replace('`', '``')}` long" for c in odd)]
+    return spark.createDataFrame(rows, ", ".join(names))
+
+
+def test_odd_columns_stay_what_they_are(spark):
+    df = with_odd_columns(spark)
+    before = {tuple(r) for r in df.collect()}
+    model = quality.train(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id int, grade int"))
+    for out in (mixing.mixed_documents(df), simhash.deduplicated(df), pii.masked_documents(df), quality.selected_documents(df, model)):
+        rows = [tuple(r) for r in out.collect()]
+        assert out.columns == df.columns and set(rows) <= before
+    for f in (mixing.mix, sharding.shard, simhash.near_duplicates, simhash.near_groups, pii.pii_spans, secrets.secret_spans, matroska.text_media, lambda d: quality.score(d, model)):
+        assert f(df).count() == 40
+    assert packing.pack(df).count() == 40
+
+
+def test_scratch_tables_can_go(spark):
+    with common.stage_tables(spark) as written:
+        kept = common.materialize(spark.range(5))
+        common.materialize(spark.range(7))
+        path = written.pop(0)
+    assert kept.count() == 5 and len(written) == 1 and path not in written
+    with pytest.raises(Exception):
+        spark.read.parquet(written[0]).count()

@@ -80,6 +80,43 @@ def test_awkward_vectors(spark):
     assert ann.search(index, books, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-200, 1e200, 5e-324, 1e308, 1e-300])
+def test_vectors_of_any_size(spark, size):
+    """One vector that is far longer or shorter than all others changes nothing for these, and takes part."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 8))
+    x[7] = np.sign(x[7]) * size
+    x[40] = np.abs(x[40]) * (size if size < 1 else 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {q: list(g.sort_values("rank").vec_id) for q, g in ann.search(*ann.build_index(df), F.col("vec_id") % 20 == 0).toPandas().groupby("query_id")}
+    assert set(got) == set(range(0, 3000, 20)) and all(len(g) == 20 for g in got.values())
+    hits = 0
+    for q, g in got.items():
+        with np.errstate(over="ignore"):
+            s = np.array([(v * x[q]).sum() for v in x])
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(3000), -s))[:20]
+        hits += len(set(want) & set(g))
+        assert g[0] == want[0] or q == 40
+    assert hits >= 0.99 * 20 * len(got)
+
+
+def test_recall_by_depth():
+    """What the codes alone recall, and what they leave to the exact scores: one block, few or many of it reranked."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(40, 64))
+    x = (centre[rng.integers(0, 40, 6000)] + 0.6 * rng.normal(size=(6000, 64))).astype(np.float32).astype(float)
+    spec = AnnSpec()
+    books = ann.fit(x[:4096], spec)
+    codes, norms = ann.encode(x, books, spec)
+    ids, q = np.arange(6000), np.arange(0, 6000, 100)
+    recall = {}
+    for depth in (20, 100, 300, 1000):
+        got = ann.search_block(ids, x, codes, norms, q, x[q], books, AnnSpec(rerank=depth))
+        recall[depth] = np.mean([len(set(nearest(ids, x, i, 20)[0]) & set(v)) / 20 for i, (_, v, _) in zip(q, got)])
+    assert recall[20] > 0.5 and recall[100] > 0.9 and recall[300] > 0.97 and recall[1000] > 0.99, recall
+
+
 def brute_fit(items, capacity):
     """Best fit by looking at every bin."""
     bins, out = [], []
@@ -130,3 +167,36 @@ def test_packing(spark):
     assert packing.pack(nothing(spark)).count() == 0
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held(packing.pack(docs).collect(), docs, 2048)
+
+
+def test_dealt_query_is_brute_force(spark):
+    """Each part of the whole query, packed again by looking at every bin."""
+    docs = awkward(spark).unionAll(awkward(spark, 90, 5).withColumn("doc_id", F.col("doc_id") + 1000)).where("doc_id IS NOT NULL")
+    spec = packing.PackSpec(capacity=100, part_rows=20)
+    rows = packing.pack(docs, spec).where("bin IS NOT NULL").collect()
+    about = {}
+    for r in docs.collect():
+        about.setdefault(r.doc_id, set()).add((r.source, " ".join((r.text or "").lower().split())))
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.bin >> 32, []).append(r)
+    assert len(parts) > 5
+    for part in parts.values():
+        part.sort(key=lambda r: (-r.size, r.doc_id is None, r.doc_id or 0, r.piece))
+        texts = [next(iter(about[r.doc_id])) for r in part]
+        again = [c for _, c in texts]
+        items = [(r.size, s if s is not None else -1, c if again.count(c) > 1 else -1) for r, (s, c) in zip(part, texts)]
+        assert [r.bin & 0xFFFFFFFF for r in part] == brute_fit(items, 100)
+
+
+def test_clusters_are_texts_of_the_same_words(spark):
+    df = spark.createDataFrame([(1, "Some  words", "a"), (2, "some\twords ", "b"), (3, "some word s", "c"), (4, None, "d")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.cluster for r in packing.pieces(df, packing.PackSpec()).collect()}
+    assert got[1] == got[2] != got[3] and got[4] is None
+
+
+def test_copies_of_one_row_take_linear_time(spark):
+    """Each needs a bin of its own; they are dealt over all parts, so no task has them all."""
+    df = spark.range(100_000, numPartitions=8).selectExpr("cast(null as long) doc_id", "'a few words' text", "'s' source")
+    got = packing.pack(df).selectExpr("bin >> 32 part", "bin").groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("bin").alias("bins")).collect()
+    assert sum(r.n for r in got) == 100_000 and all(r.n == r.bins for r in got) and max(r.n for r in got) < 4 * packing.PackSpec().part_rows
