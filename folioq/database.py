@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -32,6 +33,14 @@ from .streaming.feed import Feed
 PRAGMAS = {"USER_VERSION": 0, "COLLATION": "/Ordinal", "TIMEOUT": 60, "LIMIT_SIZE": 2**63 - 1, "UTC_DATE": True, "CHECKPOINT": 1000}
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder. A local one only on a local master: on a cluster each executor would keep its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise FolioError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or tempfile.gettempdir()).rstrip("/")
+
+
 @dataclass(frozen=True)
 class Table:
     """A source of a query."""
@@ -84,13 +93,18 @@ class Database:
         self.attached: dict[str, tuple[str, DataFrame, tuple[str, ...]]] = {}
         self.staged: Version | None = None
         self.feed = Feed(spark, change_log)
-        self.pragmas = PRAGMAS | {"COLLATION": collation}
+        self._collation = collation
+        self._making: list[str] = []
 
     @staticmethod
     def memory(spark: SparkSession) -> Database:
         """A database that nobody else knows of, in the cluster's scratch folder."""
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-        return Database(spark, f"{base.rstrip('/')}/folioq-memory-{uuid.uuid4().hex}")
+        return Database(spark, f"{scratch_folder(spark)}/folioq-memory-{uuid.uuid4().hex}")
+
+    @property
+    def pragmas(self) -> dict[str, Any]:
+        """Settings: those that were stored, over the ones that a database begins with."""
+        return PRAGMAS | self.version.pragmas | {"COLLATION": self._collation}
 
     def collection(self, name: str) -> Collection:
         return Collection(self, name)
@@ -128,8 +142,16 @@ class Database:
     def _read(self, c: Stored) -> DataFrame:
         if not c.segments:
             return self.spark.createDataFrame([], "_id string")
-        parts = [self.spark.read.parquet(f"{self.storage.files.root}/{s}") for s in c.segments]
-        return union(parts)
+        return union(list(self._by_schema(c)))
+
+    def _by_schema(self, c: Stored, segments: list[str] | None = None) -> Iterator[DataFrame]:
+        """The segments, those of one schema as one scan: a plan has as many branches as there are schemas, not as there are segments."""
+        paths: dict[str, list[str]] = {}
+        for s in c.segments if segments is None else segments:
+            paths.setdefault(c.schemas.get(s, s), []).append(f"{self.storage.files.root}/{s}")
+        for schema, some in paths.items():
+            reader = self.spark.read.schema(T.StructType.fromJson(json.loads(schema))) if schema.startswith("{") else self.spark.read
+            yield reader.parquet(*some)
 
     def names(self) -> list[str]:
         return sorted([n for n, _, _ in self.attached.values()] + list(self.version.collections))
@@ -192,7 +214,7 @@ class Database:
         s = st.parse_statement(text)
         if isinstance(s, st.Select):
             query = self._select(s, named)
-            if s.explain and s.source:
+            if s.explain:
                 return query.explain()
             if not s.into:
                 return query.frame()
@@ -214,7 +236,7 @@ class Database:
             return self.rename(s.old, s.new)
         if isinstance(s, st.Pragma):
             return self.pragma(s.name, s.value) if s.write else self.pragmas[self._pragma(s.name)]
-        return {"BEGIN": self.begin, "COMMIT": self.commit, "ROLLBACK": self.rollback, "CHECKPOINT": self.checkpoint, "REBUILD": self.rebuild}[s.word]()
+        return {"BEGIN": self.begin, "COMMIT": self.commit, "ROLLBACK": self.rollback, "CHECKPOINT": self.checkpoint, "REBUILD": self.rebuild}[s.word](*([s.options] if getattr(s, "options", None) else []))
 
     def _select(self, s: st.Select, params: dict[str, Any]) -> Query:
         q = Query(self.spark, self._table(s.source) if s.source else None, projection=s.projection, params=params, into_hook=self._into)
@@ -233,9 +255,16 @@ class Database:
 
     @contextmanager
     def transaction(self):
-        """All writes inside are committed together, or none."""
+        """All writes inside are committed together, or none. Inside another transaction a fault undoes what was done in here, and no more."""
         if self.staged is not None:
-            yield self
+            before, told, making = self.staged.copy(), len(self.feed.waiting), len(self._making)
+            try:
+                yield self
+            except BaseException:
+                self.staged = before
+                del self.feed.waiting[told:]
+                self._give_up(self._making[making:])
+                raise
             return
         self.begin()
         try:
@@ -251,6 +280,7 @@ class Database:
         if self.staged is not None:
             return False
         self.staged = self.storage.latest()
+        self.feed.publish(self.storage.files, self.staged.changes)  # if whoever committed them could not
         return True
 
     def commit(self) -> bool:
@@ -258,36 +288,72 @@ class Database:
             return False
         staged, self.staged = self.staged, None
         try:
+            limit = (PRAGMAS | staged.pragmas)["LIMIT_SIZE"]
+            if self._making and limit < PRAGMAS["LIMIT_SIZE"] and (size := self.storage.files.size()) > limit:
+                raise FolioError(f"the database has {size} bytes, and its limit is {limit}")
+            staged.changes = self.feed.written(self.storage.files)
             self.storage.commit(staged)
-        except ConflictFault:
+        except BaseException:
             self.feed.forget()
+            self._give_up(self._making)
             raise
-        self.feed.flush()
+        self.storage.made(self._making)
+        self._making = []
+        told = self.feed.take()
+        self.feed.publish(self.storage.files, staged.changes)
+        self.feed.tell(told)
         return True
 
+    def _give_up(self, segments: list[str]) -> None:
+        """Segments that will not be committed go at once."""
+        gone = list(segments)
+        for s in gone:
+            self.storage.files.delete(s)
+        self.storage.made(gone)
+        self._making = [s for s in self._making if s not in gone]
+
     def rollback(self) -> bool:
         if self.staged is None:
             return False
         self.staged = None
         self.feed.forget()
+        self._give_up(self._making)
         return True
 
     def checkpoint(self) -> int:
-        """Delete what no current version names; segments are complete when they are committed, so there is nothing to move."""
+        """Delete what the latest version does not name and no writer is making; segments are complete when they are committed, so there is nothing to move."""
         self._no_transaction()
-        return self.storage.vacuum(self.storage.latest()) if self.storage else 0
+        return self.storage.vacuum() if self.storage else 0
 
-    def rebuild(self) -> int:
-        """Each collection as one segment; the number of segments saved."""
+    def rebuild(self, options: dict[str, Any] | None = None) -> int:
+        """Each collection as one segment; the number of segments saved. Option collation: by which text is compared from now on in this database
+        object; unique keys are checked under it first. A password has no use here and is refused."""
         self._no_transaction()
+        options = {k.lower(): v for k, v in (options or {}).items()}
+        if unknown := set(options) - {"collation"}:
+            raise BindFault(f"no option {sorted(unknown)}")
         saved = 0
         with self.transaction():
+            if "collation" in options:
+                before = self.collation, self._collation
+                self.collation, self._collation = collation_of(options["collation"]), options["collation"]
+                try:
+                    for c in self.staged.collections.values():
+                        if c.segments:
+                            self._check_keys(c, self._read(c), None)
+                except BaseException:
+                    self.collation, self._collation = before
+                    raise
             for name, c in self.staged.collections.items():
                 if len(c.segments) > 1:
                     saved += len(c.segments) - 1
-                    c.segments = [self._write(name, self._read(c))]
+                    self._replace(c, [self._write(name, c, self._read(c))])
         return saved
 
+    def _replace(self, c: Stored, segments: list[str]) -> None:
+        c.segments = segments
+        c.schemas = {s: x for s, x in c.schemas.items() if s in segments}
+
     def _no_transaction(self) -> None:
         if self.staged is not None:
             raise FolioError("not inside a transaction")
@@ -303,7 +369,11 @@ class Database:
         if name == "COLLATION":
             raise BindFault("the collation is fixed when a database is made")
         changed = self.pragmas[name] != value
-        self.pragmas[name] = value
+        if changed and not self.storage:
+            raise FolioError("a database without a path cannot be written")
+        if changed:
+            with self.transaction():
+                self.staged.pragmas[name] = value
         return changed
 
     # Writes
@@ -314,10 +384,13 @@ class Database:
         found = self._stored(self.staged, name)
         return found[1] if found else self.staged.collections.setdefault(name, Stored())
 
-    def _write(self, name: str, df: DataFrame) -> str:
+    def _write(self, name: str, c: Stored, df: DataFrame) -> str:
+        """A new segment; its schema is kept with the collection, so that reading needs no look at files."""
         segment = self.storage.new_segment(name)
-        cols = [F.col(f"`{f.name}`").cast(stored_type(f.dataType)).alias(f.name) for f in df.schema.fields]
-        df.select(*cols).write.parquet(f"{self.storage.files.root}/{segment}")
+        self._making.append(segment)
+        out = df.select(*[F.col(f"`{f.name}`").cast(stored_type(f.dataType)).alias(f.name) for f in df.schema.fields])
+        out.write.parquet(f"{self.storage.files.root}/{segment}")
+        c.schemas[segment] = json.dumps(_nullable(out.schema).jsonValue(), separators=(",", ":"))
         return segment
 
     def _into(self, df: DataFrame, name: str, auto_id: str | None) -> int:
@@ -328,17 +401,18 @@ class Database:
         df = docs if isinstance(docs, DataFrame) else frame_of(self.spark, docs)
         with self.transaction():
             c = self._open(name)
-            segment = self._write(name, self._with_ids(df, c, auto_id))
+            held = self._read(c) if c.segments else None
+            segment = self._write(name, c, self._with_ids(df, c, auto_id))
             new = self.spark.read.parquet(f"{self.storage.files.root}/{segment}")
             n = new.count()
             if not n:
+                c.schemas.pop(segment)
                 return 0
-            held = self._read(c) if c.segments else None
+            self._check_keys(c, new, held)
             c.segments.append(segment)
             if auto_id in ("INT", "LONG", "INT32", "INT64") or isinstance(new.schema["_id"].dataType, (T.IntegerType, T.LongType)):
                 top = new.agg(F.max("_id")).first()[0]
                 c.last_id = max(c.last_id, top) if isinstance(top, int) else c.last_id
-            self._check_keys(c, new, held)
             self.feed.note(name, "Insert", new.select("_id"))
             return n
 
@@ -373,7 +447,7 @@ class Database:
         uniques = {"_id": "$._id"} | {i: x["expr"] for i, x in c.indexes.items() if x["unique"]}
         for index, text in uniques.items():
             expr = parse(text)
-            keys = lambda df: df.select(compile_node(expr, Scope(row_of(df))).col.alias("k"))
+            keys = lambda df: self._collated(df).select(compile_node(expr, Scope(row_of(self._collated(df)))).col.alias("k"))
             fresh = keys(new)
             again = fresh.groupBy("k").count().where("count > 1")
             if not again.isEmpty():
@@ -382,22 +456,27 @@ class Database:
                 if not keys(held).join(fresh, "k", "left_semi").isEmpty():
                     raise ConflictFault(f"duplicate key in {index}")
 
+    def _collated(self, df: DataFrame) -> DataFrame:
+        return collated(df, self.collation) if self.collation else df
+
     def _rewrite(self, name: str, c: Stored, touched: Callable[[DataFrame], Column], new: Callable[[DataFrame, Column], DataFrame]) -> tuple[int, DataFrame | None]:
-        """Replace segments that hold a touched row by what `new` makes of them; the number of rows touched, and their ids."""
-        total, ids, kept = 0, None, []
-        for s in c.segments:
-            df = self.spark.read.parquet(f"{self.storage.files.root}/{s}")
+        """Replace segments that hold a touched row by what `new` makes of them; the number of rows touched, and their ids.
+
+        One count for each schema finds the segments; those of one schema that hold such rows become one new segment.
+        """
+        hit: dict[str, int] = {}
+        for df in self._by_schema(c):
+            found = df.where(F.coalesce(touched(df), F.lit(False))).groupBy(_segment().alias("s")).count()
+            hit |= {r.s: r["count"] for r in found.collect()}  # a row for each segment at most
+        some = [s for s in c.segments if s in hit]
+        kept, ids = [s for s in c.segments if s not in hit], None
+        for df in self._by_schema(c, some) if some else ():
             test = F.coalesce(touched(df), F.lit(False))
-            n = df.where(test).count()
-            if not n:
-                kept.append(s)
-                continue
-            total += n
-            some = df.where(test).select("_id")
-            ids = some if ids is None else ids.unionByName(some)
-            kept.append(self._write(name, new(df, test)))
-        c.segments = kept
-        return total, ids
+            got = df.where(test).select("_id")
+            ids = got if ids is None else union([ids, got])
+            kept.append(self._write(name, c, new(df, test)))
+        self._replace(c, kept)
+        return sum(hit.values()), ids
 
     def _where(self, n: Node | str | None, params: dict[str, Any]) -> Callable[[DataFrame], Column]:
         node = parse(n) if isinstance(n, str) else n
@@ -438,29 +517,52 @@ class Database:
             return n
 
     def update(self, name: str, docs: DataFrame | list[dict[str, Any]]) -> int:
-        """Replace whole documents by _id; ids that are not there are skipped."""
+        """Replace whole documents by _id; ids that are not there are skipped. Of several documents of one _id the last counts; all are
+        part of the number told. Only segments that hold such an _id are written again."""
+        return self._update(name, self._last(docs))
+
+    def _last(self, docs: DataFrame | list[dict[str, Any]]) -> DataFrame:
+        """The last document of each _id, and how many there are of it (`__n`); documents without an _id as they are. Written, so that places do not change."""
         df = docs if isinstance(docs, DataFrame) else frame_of(self.spark, docs)
+        if not any(f.name.lower() == "_id" for f in df.schema.fields):
+            return df.withColumn("__n", F.lit(1).cast("long"))
+        row = F.struct(*[F.col(f"`{f.name}`") for f in df.schema.fields])
+        placed = df.select(F.col("_id").alias("__id"), row.alias("__row"), F.monotonically_increasing_id().alias("__at"))
+        one = placed.where("__id IS NOT NULL").groupBy("__id").agg(F.max_by("__row", "__at").alias("__row"), F.count(F.lit(1)).alias("__n"))
+        none = placed.where("__id IS NULL").select("__id", "__row", F.lit(1).cast("long").alias("__n"))
+        return one.unionByName(none).select("__row.*", "__n")
+
+    def _update(self, name: str, df: DataFrame) -> int:
         with self.transaction():
             c = self._open(name)
-            if not c.segments:
+            if not c.segments or "_id" not in df.columns:
                 return 0
-            held = self._read(c)
-            hits = df.join(held.select("_id"), "_id", "left_semi")
-            n = hits.count()
+            ids = df.select("_id")
+            told = df.join(self._read(c).select("_id"), "_id", "left_semi")
+            n = told.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
             if n:
-                rest = held.join(df.select("_id"), "_id", "left_anti")
-                c.segments = [self._write(name, union([rest, hits]))]
+                hits, some = told.drop("__n"), set()
+                for part in self._by_schema(c):
+                    here = part.select("_id", _segment().alias("s")).join(ids, "_id", "left_semi").select("s").distinct()
+                    some |= {r.s for r in here.collect()}  # a row for each segment at most
+                kept = [s for s in c.segments if s not in some]
+                rest = union([part.join(ids, "_id", "left_anti") for part in self._by_schema(c, [s for s in c.segments if s in some])])
+                kept.append(self._write(name, c, union([rest, hits])))
+                self._replace(c, kept)
+                if any(x["unique"] for x in c.indexes.values()):
+                    self._check_keys(c, self._read(c), None)
                 self.feed.note(name, "Update", hits.select("_id"))
             return n
 
     def upsert(self, name: str, docs: DataFrame | list[dict[str, Any]]) -> tuple[int, int]:
-        """(inserted, updated)."""
-        df = docs if isinstance(docs, DataFrame) else frame_of(self.spark, docs)
+        """(inserted, updated). Of several documents of one new _id the first is an insert and each further one an update of it."""
+        df = self._last(docs)
         with self.transaction():
-            updated = self.update(name, df)
+            updated = self._update(name, df)
             c = self._open(name)
-            fresh = df.join(self._read(c).select("_id"), "_id", "left_anti") if c.segments else df
-            return self.insert(name, fresh), updated
+            fresh = df.join(self._read(c).select("_id"), "_id", "left_anti") if c.segments and "_id" in df.columns else df
+            again = fresh.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
+            return self.insert(name, fresh.drop("__n")), updated + again
 
     def delete(self, name: str, ids: list[Any]) -> int:
         return self.delete_many(name, parse("$._id IN @ids"), {"ids": list(ids)})
@@ -512,16 +614,32 @@ class Database:
             self.feed.note(new, "Rename", None)
             return True
 
-    # Vectors
-
-    def top_k_near(self, name: str, field: str, target: list[float], k: int, metric: str = "cosine") -> DataFrame:
-        return vector.top_k_near(self.query(name).frame(), field, target, k, metric, self._table(st.Target(name)).order[0])
-
-    def find_near(self, name: str, field: str, target: list[float], most: float, metric: str = "cosine") -> DataFrame:
-        return vector.find_near(self.query(name).frame(), field, target, most, metric)
+    # Vectors: a field's name or any expression that gives a vector
+
+    def _vectors(self, name: str, field: str, dims: int | None = None) -> tuple[DataFrame, str]:
+        df = self.query(name).frame()
+        if not field.startswith("$") and "(" not in field:
+            field_name = next((f.name for f in df.schema.fields if f.name.lower() == field.lower()), None)
+            if field_name and dims is None:
+                return df, field_name
+            field = f"$.['{field}']"
+        with dialect(self.spark):
+            v = compile_node(parse(field), Scope(row_of(df)))
+        if v.kind != "array":
+            raise BindFault(f"{field} gives no vector")
+        df = df.withColumn("__vector", v.col)
+        return (df if dims is None else df.where(F.size("__vector") == dims)), "__vector"
+
+    def top_k_near(self, name: str, field: str, target: list[float], k: int, metric: str = "cosine", dims: int | None = None) -> DataFrame:
+        df, column = self._vectors(name, field, dims)
+        return vector.top_k_near(df, column, target, k, metric, self._table(st.Target(name)).order[0]).drop("__vector")
+
+    def find_near(self, name: str, field: str, target: list[float], most: float, metric: str = "cosine", dims: int | None = None) -> DataFrame:
+        df, column = self._vectors(name, field, dims)
+        return vector.find_near(df, column, target, most, metric).drop("__vector")
 
     def ensure_vector_index(self, collection: str, index: str, field: str, dims: int, metric: str = "cosine") -> bool:
-        """Facts for searches by name: vectors of other lengths are left out. Searches are exact."""
+        """Facts for searches by name, over a field or an expression: vectors of other lengths are left out. Searches are exact."""
         if metric not in vector.METRICS:
             raise BindFault(f"no metric {metric!r}")
         with self.transaction():
@@ -540,10 +658,9 @@ class Database:
             raise BindFault(f"no vector index {index}")
         if len(target) != facts["dims"]:
             raise BindFault(f"the index has {facts['dims']} dimensions")
-        name = root_fields(parse(facts["expr"]))[0]
         if k is not None:
-            return self.top_k_near(collection, name, target, k, facts["metric"])
-        return self.find_near(collection, name, target, most, facts["metric"])
+            return self.top_k_near(collection, facts["expr"], target, k, facts["metric"], facts["dims"])
+        return self.find_near(collection, facts["expr"], target, most, facts["metric"], facts["dims"])
 
     # Checks
 
@@ -568,5 +685,19 @@ class Database:
                 to._open(name).indexes = c.indexes
                 to._open(name).last_id = c.last_id
                 if c.segments:
-                    to._open(name).segments = [to._write(name, self._read(c))]
+                    to._open(name).segments = [to._write(name, to._open(name), self._read(c))]
         return len(version.collections)
+
+
+def _segment() -> Column:
+    """The segment that a row was read from."""
+    return F.array_join(F.slice(F.split(F.regexp_replace(F.input_file_name(), "/[^/]*$", ""), "/"), -2, 2), "/")
+
+
+def _nullable(t: T.DataType) -> T.DataType:
+    """The type with every part nullable, as Parquet gives it back."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_nullable(t.elementType))
+    return T.MapType(_nullable(t.keyType), _nullable(t.valueType)) if isinstance(t, T.MapType) else t

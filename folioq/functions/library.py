@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import BindFault
+from ..errors import BindFault, FolioError
 from .text import formatted, to_text
-from .values import NUMBERS, Val, array, common, doc, equal, field, fitted, lit, null
+from .values import LENIENT, NUMBERS, Highest, JsonText, Lowest, Val, array, common, doc, equal, field, fitted, json_fields, json_items, lit, null
 
 FUNCTIONS: dict[tuple[str, int], Callable[..., Val]] = {}
 INT, LONG, DOUBLE, STRING, BOOL, DATE = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.TimestampType()
@@ -71,32 +71,41 @@ _string("TRIM", lambda c: F.trim(c, F.lit(BLANKS)))
 
 @fn("INDEXOF", n=(2, 3))
 def index_of(s: Val, sub: Val, start: Val | None = None) -> Val:
+    """Null if the start is outside the string."""
     if s.kind != "string" or sub.kind != "string":
         return null(INT)
     at = start.col.cast(INT) if start else F.lit(0)
     found = F.when(sub.col == "", at).otherwise(F.call_function("locate", sub.col, s.col, at + 1) - 1)
-    return whole(found)
+    return whole(F.when((at >= 0) & (at <= F.length(s.col)), found))
 
 
 @fn("SUBSTRING", n=(2, 3))
 def substring(s: Val, start: Val, length: Val | None = None) -> Val:
-    if s.kind != "string":
+    """Null if the start, or the end that the length asks for, is outside the string."""
+    if s.kind != "string" or start.kind not in NUMBERS or length and length.kind not in NUMBERS:
         return null(STRING)
-    n = length.col.cast(INT) if length else F.lit(2**31 - 1)
-    return text(F.substring(s.col, start.col.cast(INT) + 1, n))
+    at, size = start.col.cast(INT), F.length(s.col)
+    n = length.col.cast(INT) if length else size - at
+    inside = (at >= 0) & (at <= size) & (n >= 0) & (n <= size - at)
+    return text(F.when(inside, F.substring(s.col, at + 1, n)))
 
 
 @fn("REPLACE", n=3)
 def replace(s: Val, old: Val, new: Val) -> Val:
+    """Null if there is nothing to look for."""
     if {s.kind, old.kind, new.kind} != {"string"}:
         return null(STRING)
-    return text(F.replace(s.col, old.col, new.col))
+    return text(F.when(old.col != "", F.replace(s.col, old.col, new.col)))
 
 
 def _pad(left: bool) -> Callable[..., Val]:
     def pad(s: Val, n: Val, fill: Val) -> Val:
-        more = F.repeat(F.substring(to_text(fill), 1, 1), F.greatest(F.lit(0), n.col.cast(INT) - F.length(to_text(s))))
-        return text(F.concat(more, to_text(s)) if left else F.concat(to_text(s), more))
+        """With the first character of the filling; null for a negative width, and without a filling."""
+        if s.kind != "string" or fill.kind != "string" or n.kind not in NUMBERS:
+            return null(STRING)
+        width = n.col.cast(INT)
+        more = F.repeat(F.substring(fill.col, 1, 1), F.greatest(F.lit(0), width - F.length(s.col)))
+        return text(F.when((width >= 0) & (fill.col != ""), F.concat(more, s.col) if left else F.concat(s.col, more)))
 
     return pad
 
@@ -105,14 +114,26 @@ fn("LPAD", n=3)(_pad(True))
 fn("RPAD", n=3)(_pad(False))
 
 
+#: Code points that no text has: Unicode keeps them for use inside programs.
+MARK, GONE = "\ufdd0", "\ufdd1"
+#: A group that captures, by its opening bracket.
+GROUP = re.compile(r"(?<!\\)\((?!\?)|\(\?<(?![=!])")
+
+
 @fn("SPLIT", n=(2, 3))
 def split(s: Val, sep: Val, by_regex: Val | None = None) -> Val:
-    """By a literal, without empty parts; or by a regular expression, with them."""
+    """By a literal, without empty parts; or by a regular expression, with them, and with what its groups have caught in between."""
     t = T.ArrayType(STRING)
     if s.kind != "string" or sep.kind != "string":
         return Val(F.array().cast(t), t, True)
     if by_regex and constant(by_regex, "useRegex"):
-        return Val(F.split(s.col, str(constant(sep, "a pattern"))), t, True)
+        java = _java(sep)
+        groups = len(GROUP.findall(java))
+        if not groups:
+            return Val(F.split(s.col, java), t, True)
+        marked = F.regexp_replace(s.col, F.lit(f"(?:{java})"), F.lit("".join(f"{MARK}{GONE}${i}" for i in range(1, groups + 1)) + MARK))
+        caught = F.filter(F.split(marked, MARK), lambda x: x != GONE)  # a group that took no part, or nothing
+        return Val(F.transform(caught, lambda x: F.replace(x, F.lit(GONE), F.lit(""))), t, True)
     if sep.literal:
         parts = F.split(s.col, re.escape(str(sep.literal[0])))
     else:
@@ -240,6 +261,8 @@ def listed(v: Val) -> Val:
     """The value as a sequence: an array's items, or itself alone."""
     if v.kind == "array":
         return Val(F.coalesce(v.col, F.array().cast(v.type)), v.type, True, literal=v.literal)
+    if isinstance(v.type, JsonText):
+        return Val(F.coalesce(json_items(v.col), F.array(v.col)), T.ArrayType(JsonText()), True)
     return Val(F.array(v.col), T.ArrayType(v.type), True)
 
 
@@ -278,6 +301,8 @@ def top(v: Val, n: Val) -> Val:
 @fn("KEYS", n=1)
 def keys(v: Val) -> Val:
     t = T.ArrayType(STRING)
+    if isinstance(v.type, JsonText):
+        return Val(F.coalesce(F.map_keys(json_fields(v.col)), F.array().cast(t)), t, True)
     if isinstance(v.type, T.StructType):
         return Val(F.array(*[F.lit(f.name) for f in v.type.fields]).cast(t), t, True)
     return Val(F.map_keys(v.col) if isinstance(v.type, T.MapType) else F.array().cast(t), t, True)
@@ -285,6 +310,8 @@ def keys(v: Val) -> Val:
 
 @fn("VALUES", n=1)
 def values(v: Val) -> Val:
+    if isinstance(v.type, JsonText):
+        return Val(F.coalesce(F.map_values(json_fields(v.col)), F.array().cast(T.ArrayType(STRING))), T.ArrayType(JsonText()), True)
     if isinstance(v.type, T.StructType):
         return array([field(v, f.name) for f in v.type.fields], seq=True)
     if isinstance(v.type, T.MapType):
@@ -387,11 +414,21 @@ def random(low: Val | None = None, high: Val | None = None) -> Val:
 
 @fn("JSON", n=1)
 def json(v: Val) -> Val:
-    """A variant of the text; null if it is no JSON. A field of it is text: use INT, DOUBLE and the like."""
+    """The value of a JSON text; null if it is none. Keys need no quotes. A constant is a typed value, extended notation included; of a column the fields
+    and items can be asked for, however deep, and are texts: use INT, DOUBLE and the like."""
     if v.kind != "string":
         return null()
-    t = T.MapType(STRING, STRING)
-    return Val(F.from_json(v.col, t), t)
+    if v.literal and v.literal[0] is not None:
+        from ..sources.extjson import decode
+
+        try:
+            return lit(decode(v.literal[0]))
+        except (FolioError, ValueError):
+            return null()
+    alone = F.get(F.from_json(F.concat(F.lit("["), v.col, F.lit("]")), T.ArrayType(STRING), {**LENIENT, "mode": "PERMISSIVE"}), F.lit(0))
+    start = F.ltrim(v.col)
+    made = F.when(start.startswith("{"), F.when(json_fields(v.col).isNotNull(), v.col)).when(start.startswith("["), F.when(json_items(v.col).isNotNull(), v.col)).otherwise(alone)
+    return Val(made, JsonText())
 
 
 # Casts
@@ -481,11 +518,11 @@ fn("NOW", "NOW_UTC", n=0)(lambda: Val(milliseconds(F.current_timestamp()), DATE)
 fn("TODAY", n=0)(lambda: Val(F.current_date().cast(DATE), DATE))
 
 
-# The ends of the order, as far as columns can hold them: null, and the last instant.
+# The ends of the order. As results they are the texts of their extended notation.
 
 
-fn("MINVALUE", n=0)(lambda: null())
-fn("MAXVALUE", n=0)(lambda: Val(F.lit("9999-12-31 23:59:59.999").cast(DATE), DATE))
+fn("MINVALUE", n=0)(lambda: Val(F.lit('{"$minValue":"1"}'), Lowest(), literal=("$minValue",)))
+fn("MAXVALUE", n=0)(lambda: Val(F.lit('{"$maxValue":"1"}'), Highest(), literal=("$maxValue",)))
 
 
 # Types
@@ -501,10 +538,12 @@ def _is(name: str, *kinds: str) -> None:
 for _name, _kinds in {
     "IS_INT32": ("int",), "IS_INT": ("int",), "IS_INT64": ("long",), "IS_LONG": ("long",), "IS_DOUBLE": ("double",), "IS_DECIMAL": ("decimal",),
     "IS_NUMBER": NUMBERS, "IS_STRING": ("string",), "IS_DOCUMENT": ("doc",), "IS_ARRAY": ("array",), "IS_BINARY": ("binary",),
-    "IS_BOOLEAN": ("bool",), "IS_BOOL": ("bool",), "IS_DATETIME": ("date",), "IS_DATE": ("date",), "IS_MINVALUE": (), "IS_MAXVALUE": (),
+    "IS_BOOLEAN": ("bool",), "IS_BOOL": ("bool",), "IS_DATETIME": ("date",), "IS_DATE": ("date",), "IS_MINVALUE": ("min",), "IS_MAXVALUE": ("max",),
 }.items():
     _is(_name, *_kinds)
 fn("IS_NULL", n=1)(lambda v: Val(v.col.isNull(), BOOL))
+#: Functions that take a sequence as it is; all others take one value in each place.
+SEQUENCES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "FIRST", "LAST", "ANY", "ARRAY", "JOIN", "ITEMS", "CONCAT", "DISTINCT", "TOP", "UNION", "EXCEPT"}
 fn("IS_OBJECTID", n=1)(lambda v: Val(F.coalesce(v.col.rlike("^[0-9a-f]{24}$"), F.lit(False)), BOOL) if v.kind == "string" else lit(False))
 fn("IS_GUID", n=1)(lambda v: Val(F.coalesce(v.col.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False)), BOOL) if v.kind == "string" else lit(False))
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import BindFault
 from .values import Val
 
 #: What a custom date format's letters mean to Spark's formatter.
@@ -45,6 +46,8 @@ def json_text(v: Val) -> Column:
         return F.concat(F.lit('{"$binary":"'), F.base64(c), F.lit('"}'))
     if k == "null":
         return F.lit("null")
+    if k in ("min", "max"):
+        return c
     if k == "array":
         return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.coalesce(json_text(Val(x, v.element)), F.lit("null"))), ","), F.lit("]"))
     if hasattr(v.type, "fields"):
@@ -79,6 +82,8 @@ def formatted(v: Val, fmt: str) -> Column:
         return F.date_format(v.col, date_pattern(fmt))
     if v.kind == "bool":
         return F.when(v.col, F.lit("True")).otherwise(F.lit("False"))
+    if "{" in fmt or "}" in fmt:
+        raise BindFault(f"no format {fmt!r}")
     if v.kind not in ("int", "long", "double", "decimal"):
         return to_text(v)
     m = re.fullmatch(r"([A-Za-z])(\d*)", fmt)
@@ -88,6 +93,8 @@ def formatted(v: Val, fmt: str) -> Column:
         return F.format_number(v.col, digits)
     if letter == "F":
         return F.format_string(f"%.{digits}f", v.col.cast("double"))
+    if letter == "C":
+        return F.concat(F.when(v.col < 0, F.lit("(¤")).otherwise(F.lit("¤")), F.format_number(F.abs(v.col), digits), F.when(v.col < 0, F.lit(")")).otherwise(F.lit("")))
     if letter == "P":
         return F.concat(F.format_number(v.col.cast("double") * 100, digits), F.lit(" %"))
     if letter == "D":

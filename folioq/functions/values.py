@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..errors import BindFault
 
 #: Kinds in the order in which values of different kinds compare; numbers compare among themselves.
-RANKS = {"null": 1, "int": 2, "long": 2, "double": 2, "decimal": 2, "string": 6, "doc": 7, "array": 8, "binary": 9, "bool": 12, "date": 13}
+RANKS = {"min": 0, "null": 1, "int": 2, "long": 2, "double": 2, "decimal": 2, "string": 6, "doc": 7, "array": 8, "binary": 9, "bool": 12, "date": 13, "max": 14}
 NUMBERS = ("int", "long", "double", "decimal")
 
 
@@ -45,7 +45,25 @@ class Val:
         return bool(self.literal) and self.literal[0] is not None
 
 
+class Lowest(T.NullType):
+    """The type of the value that is less than any other, null included."""
+
+
+class Highest(T.NullType):
+    """The type of the value that is more than any other."""
+
+
+class JsonText(T.StringType):
+    """Text that is JSON, or a part of one: its fields and items can be asked for, and are of this type too."""
+
+    @classmethod
+    def typeName(cls) -> str:
+        return "string"
+
+
 def kind_of(t: T.DataType) -> str:
+    if isinstance(t, (Lowest, Highest)):
+        return "min" if isinstance(t, Lowest) else "max"
     if isinstance(t, T.NullType):
         return "null"
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)):
@@ -107,6 +125,8 @@ def common(kinds: list[T.DataType]) -> T.DataType:
         return T.NullType()
     if all(k == some[0] for k in some):
         return some[0]
+    if any(isinstance(k, JsonText) for k in some):
+        return common([T.StringType() if isinstance(k, JsonText) else k for k in some])
     names = {kind_of(k) for k in some}
     if names <= set(NUMBERS):
         if "double" in names:
@@ -159,8 +179,25 @@ def doc(items: dict[str, Val]) -> Val:
     return Val(F.struct(*[v.col.alias(k) for k, v in made.items()]) if made else F.struct(), t)
 
 
+#: JSON as people write it: keys without quotes, and single quotes.
+LENIENT = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
+
+
+def json_fields(text: Column) -> Column:
+    """A JSON document's fields as texts; null for anything else."""
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, T.MapType(T.StringType(), T.StringType()), LENIENT))
+
+
+def json_items(text: Column) -> Column:
+    """A JSON array's items as texts; null for anything else."""
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, T.ArrayType(T.StringType()), LENIENT))
+
+
 def field(v: Val, name: str) -> Val:
-    """A document's field, found in any case; null if it has none, and for what is not a document."""
+    """A document's field, found in any case; null if it has none, and for what is not a document. Fields of JSON are found by their very name first."""
+    if isinstance(v.type, JsonText):
+        low = F.map_filter(json_fields(v.col), lambda k, _: F.lower(k) == name.lower())
+        return Val(F.coalesce(F.try_element_at(low, F.lit(name)), F.get(F.map_values(low), F.lit(0))), JsonText())
     if isinstance(v.type, T.StructType):
         for f in v.type.fields:
             if f.name.lower() == name.lower():
@@ -189,7 +226,12 @@ def _both(a: Val, b: Val) -> tuple[Column, Column]:
     return a.col, b.col
 
 
+EDGES = {"min", "max"}
+
+
 def equal(a: Val, b: Val) -> Column:
+    if EDGES & {a.kind, b.kind}:
+        return F.lit(a.kind == b.kind)
     if RANKS[a.kind] != RANKS[b.kind]:
         if "null" in (a.kind, b.kind):
             return (b if a.kind == "null" else a).col.isNull()
@@ -207,6 +249,8 @@ def equal(a: Val, b: Val) -> Column:
 
 def less(a: Val, b: Val, or_equal: bool = False) -> Column:
     """a < b, or a <= b."""
+    if EDGES & {a.kind, b.kind}:
+        return F.lit(or_equal if a.kind == b.kind else a.kind == "min" or b.kind == "max")
     ra, rb = RANKS[a.kind], RANKS[b.kind]
     if ra != rb:
         low = F.lit(ra < rb)
@@ -242,6 +286,8 @@ def less(a: Val, b: Val, or_equal: bool = False) -> Column:
 
 def more(a: Val, b: Val, or_equal: bool = False) -> Column:
     """a > b, or a >= b."""
+    if EDGES & {a.kind, b.kind}:
+        return less(b, a, or_equal)
     if b.known_not_null and RANKS[a.kind] == RANKS[b.kind] and a.kind != "null":
         x, y = _both(a, b)
         core = x >= y if or_equal else x > y

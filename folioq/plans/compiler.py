@@ -147,15 +147,17 @@ def _path(n: Path, s: Scope) -> Val | Rows:
     here = s.root if n.root == "$" else s.current if s.current is not None else s.root
     if here is None:
         name = next((x.name for x in n.steps if isinstance(x, Get)), "$")
-        raise BindFault(f"Field '{name}' is invalid in the select list because it is not contained in either an aggregate function or the GROUP BY clause.")
+        raise BindFault(f"{name} has no value here: a group has its key, and aggregates over *")
     for step in n.steps:
         if isinstance(step, Get):
             here = V.field(here, step.name)
         elif isinstance(step, Every):
-            here = lib.listed(here) if here.kind == "array" else Val(F.array().cast(T.ArrayType(here.type)), T.ArrayType(here.type), True)
+            here = lib.listed(here) if here.kind == "array" or isinstance(here.type, V.JsonText) else Val(F.array().cast(T.ArrayType(here.type)), T.ArrayType(here.type), True)
         elif isinstance(step, Such):
             here = _such(lib.listed(here), step.test, s)
         elif isinstance(step, At):
+            if isinstance(here.type, V.JsonText):
+                here = Val(V.json_items(here.col), T.ArrayType(V.JsonText()))
             if here.kind != "array":
                 here = V.null()
                 continue
@@ -258,7 +260,7 @@ def _call(n: Call, s: Scope) -> Val | Rows:
         if n.name == "ITEMS":
             return args[0]
     vals = [_listed(node, a, s) if isinstance(a, Rows) else a for node, a in zip(n.args, args)]
-    if any(v.seq for v in vals) and n.name in ("LOWER", "UPPER", "ABS", "YEAR", "STRING", "INT", "DOUBLE"):
+    if any(v.seq for v in vals) and n.name not in lib.SEQUENCES:
         raise BindFault(f"{n.name} takes one value: use MAP, or wrap the sequence in ARRAY()")
     if n.name == "ARRAY":
         return _plain(lib.call("ARRAY", vals))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .database import Database
+from .database import Database, scratch_folder
 from .operators import vector
 from .plans.compiler import dialect
+from .scenarios import SCENARIO_SQL, SCENARIOS
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "labels": "doc_id", "pages": "page_id", "benchmark": "item_id", "embeddings": "vec_id"}
 
@@ -234,6 +234,81 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str, str]] = {
         "SELECT $._id AS k, JOIN(UNION($.flags, ['N', 'Z']), '') AS u, JOIN(EXCEPT($.flags, ['N']), '') AS e, COUNT(DISTINCT($.flags[*])) AS d, COUNT(CONCAT($.flags, $.flags)) AS c, COUNT(TOP($.qtys, 2)) AS t FROM carts WHERE COUNT($.qtys) = 1",
         f"SELECT _id AS k, CASE WHEN flags[1] = 'N' THEN 'NZ' ELSE flags[1] || 'NZ' END AS u, CASE WHEN flags[1] = 'N' THEN '' ELSE flags[1] END AS e, CAST(1 AS INTEGER) AS d, CAST(2 AS INTEGER) AS c, CAST(1 AS INTEGER) AS t FROM {CARTS_SQL} WHERE len(qtys) = 1",
     ),
+    "q_array_sets_many": (
+        ("carts",),
+        "SELECT $._id AS k, JOIN(SORT(UNION($.flags, ['N', 'Z']) => @), '') AS u, JOIN(SORT(EXCEPT($.flags, ['N']) => @), '') AS e, COUNT(DISTINCT($.flags[*])) AS d, COUNT(CONCAT($.flags, $.qtys)) AS c, SUM(TOP($.qtys, 2)) AS t, JOIN(CONCAT(TOP($.flags, 1), ['x']), '-') AS j FROM carts",
+        f"SELECT _id AS k, array_to_string(list_sort(list_distinct(list_concat(flags, ['N', 'Z']))), '') AS u, coalesce(array_to_string(list_sort(list_distinct(list_filter(flags, lambda x: x <> 'N'))), ''), '') AS e, CAST(len(list_distinct(flags)) AS INTEGER) AS d, CAST(2 * len(flags) AS INTEGER) AS c, list_sum(qtys[1:2]) AS t, flags[1] || '-x' AS j FROM {CARTS_SQL}",
+    ),
+    "q_keys_values": (
+        ("nation",),
+        "SELECT $.n_nationkey AS k, JOIN(KEYS({a: 1, b: $.n_name}), ',') AS ks, JOIN(VALUES({a: $.n_nationkey, b: $.n_name}), ',') AS vs, JOIN(KEYS(EXTEND({a: 1}, {c: 2})), '') AS x, COUNT(ITEMS([1, 2, 3])) AS n FROM nation",
+        "SELECT n_nationkey AS k, 'a,b' AS ks, n_nationkey || ',' || n_name AS vs, 'ac' AS x, 3::INTEGER AS n FROM nation",
+    ),
+    "q_binary": (
+        ("nation",),
+        "SELECT $.n_nationkey AS k, LENGTH(BINARY('aGVsbG8=')) AS n, IS_BINARY(BINARY('aGVsbG8=')) AS b, STRING(BINARY('aGVsbG8=')) AS s, IS_NULL(BINARY($.n_nationkey)) AS z FROM nation",
+        """SELECT n_nationkey AS k, 5::INTEGER AS n, true AS b, '{"$binary":"aGVsbG8="}' AS s, true AS z FROM nation""",
+    ),
+    "q_casts": (
+        ("part",),
+        "SELECT $.p_partkey AS k, DOUBLE('1,234.5') AS d, DOUBLE(STRING($.p_size)) + 0.5 AS e, INT(' 42 ') AS i, IS_NULL(INT('4x')) AS bad, LONG($.p_size) * 10000000000 AS l, STRING($.p_size) AS s, BOOL('True') AS t, DAY(DATETIME('2020-02-29')) AS y, IS_NULL(DATETIME('soon')) AS never, MONTH(DATETIME_UTC(2021, 3, 4)) AS m FROM part",
+        "SELECT p_partkey AS k, 1234.5::DOUBLE AS d, p_size + 0.5::DOUBLE AS e, 42::INTEGER AS i, true AS bad, p_size * 10000000000 AS l, CAST(p_size AS VARCHAR) AS s, true AS t, 29::INTEGER AS y, true AS never, 3::INTEGER AS m FROM part",
+    ),
+    "q_decimal": (
+        ("lineitem",),
+        "SELECT {flag: @key, s: ROUND(DOUBLE(SUM(MAP(* => DECIMAL(@.l_quantity)))), 2), a: ROUND(DOUBLE(AVG(MAP(* => DECIMAL(@.l_quantity)))), 4)} FROM lineitem GROUP BY $.l_returnflag",
+        "SELECT l_returnflag AS flag, round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 4) AS a FROM lineitem GROUP BY 1",
+    ),
+    "q_ids": (
+        ("customer",),
+        "SELECT $.c_custkey AS k, OBJECTID('5F5E1000aaaaaaaaaaaaaaaa') AS o, IS_NULL(OBJECTID($.c_name)) AS bad, GUID('0F8FAD5B-D9CB-469F-A165-70867728950E') AS g, YEAR(OID_CREATIONTIME(OBJECTID('5f5e1000aaaaaaaaaaaaaaaa'))) AS y, IS_GUID($.c_name) AS n, IS_OBJECTID('5f5e1000aaaaaaaaaaaaaaaa') AS i FROM customer",
+        "SELECT c_custkey AS k, '5f5e1000aaaaaaaaaaaaaaaa' AS o, true AS bad, '0f8fad5b-d9cb-469f-a165-70867728950e' AS g, 2020::INTEGER AS y, false AS n, true AS i FROM customer",
+    ),
+    "q_is_types": (
+        ("orders",),
+        "SELECT $.o_orderkey AS k, IS_INT64($.o_orderkey) AS a, IS_DOUBLE($.o_totalprice) AS b, IS_NUMBER($.o_orderstatus) AS c, IS_DATETIME($.o_orderdate) AS d, IS_ARRAY([1]) AS e, IS_DOCUMENT({x: 1}) AS f, IS_STRING($.o_orderstatus) AS g, IS_BOOL(1 = 1) AS h, IS_NULL($.nope) AS i, IS_DECIMAL(DECIMAL('1')) AS j, IS_INT32(1) AS l FROM orders",
+        "SELECT o_orderkey AS k, true AS a, true AS b, false AS c, true AS d, true AS e, true AS f, true AS g, true AS h, true AS i, true AS j, true AS l FROM orders",
+    ),
+    "q_sentinels": (
+        ("gaps",),
+        "SELECT $._id AS k, IS_MINVALUE(MINVALUE()) AS a, IS_MAXVALUE(MAXVALUE()) AS b, $.price > MINVALUE() AS c, $.price < MAXVALUE() AS d, MINVALUE() < null AS e, MAXVALUE() = MAXVALUE() AS f, MAXVALUE() <= $.price AS g, IS_MINVALUE($.price) AS h, MAXVALUE() AS m FROM gaps",
+        f"""SELECT _id AS k, true AS a, true AS b, true AS c, true AS d, true AS e, true AS f, false AS g, false AS h, '{{"$maxValue":"1"}}' AS m FROM {GAPS_SQL}""",
+    ),
+    "q_string_ranges": (
+        ("customer",),
+        "SELECT $.c_custkey AS k, SUBSTRING($.c_mktsegment, -2) AS a, SUBSTRING($.c_mktsegment, 100) AS b, SUBSTRING($.c_mktsegment, 2, 1000) AS c, SUBSTRING($.c_mktsegment, LENGTH($.c_mktsegment)) AS d, SUBSTRING($.c_mktsegment, 3) AS e, SUBSTRING($.c_name, $.c_custkey % 30, 2) AS f, INDEXOF($.c_name, '#', 99) AS g, LPAD($.c_name, -1, 'x') AS h, RPAD($.c_mktsegment, 12, '') AS i, REPLACE($.c_name, '', 'x') AS j FROM customer",
+        "SELECT c_custkey AS k, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS c, '' AS d, substr(c_mktsegment, 4) AS e, CASE WHEN c_custkey % 30 + 2 <= length(c_name) THEN substr(c_name, CAST(c_custkey % 30 + 1 AS INTEGER), 2) END AS f, NULL::INTEGER AS g, NULL::VARCHAR AS h, NULL::VARCHAR AS i, NULL::VARCHAR AS j FROM customer",
+    ),
+    "q_split_groups": (
+        ("orders",),
+        "SELECT $.o_orderkey AS k, JOIN(SPLIT($.o_orderpriority, '([0-9])-', true), '|') AS a, JOIN(SPLIT('a1b22c', '([0-9])([0-9])?', true), ',') AS b, COUNT(SPLIT('a--b', '-', true)) AS c, COUNT(SPLIT('a--b', '-')) AS d, JOIN(SPLIT('x,y;z', '(?:,|;)', true), '') AS e FROM orders",
+        "SELECT o_orderkey AS k, '|' || replace(o_orderpriority, '-', '|') AS a, 'a,1,b,2,2,c' AS b, 3::INTEGER AS c, 2::INTEGER AS d, 'xyz' AS e FROM orders",
+    ),
+    "q_json_nested": (
+        ("events",),
+        """SELECT $.event_id AS k, INT(FIRST(MAP(ITEMS(JSON('{a: {b: [1, {c: ' + INT($.user_id) + '}]}}')) => @.a.b[1].c))) AS u, FIRST(MAP(ITEMS(JSON('{"s": "x y", "n": null}' + SUBSTRING($.event_type, 0, 0))) => @.s)) AS s, COUNT(ITEMS(JSON('[1, 2, ' + INT($.user_id) + ']'))) AS n, FIRST(MAP(ITEMS(JSON('{a: 1, b: {c: [2, 3]}}')) => @.b.c[1])) AS l, IS_NULL(JSON($.event_type + '{')) AS bad, JOIN(KEYS(JSON($.props)), ',') AS ks, INT(FIRST(MAP(ITEMS(JSON($.props)) => @.K))) AS v FROM events""",
+        "SELECT event_id AS k, CAST(user_id AS INTEGER) AS u, 'x y' AS s, 3::INTEGER AS n, 3::INTEGER AS l, true AS bad, 'k' AS ks, CAST(json_extract_string(props, '$.k') AS INTEGER) AS v FROM events",
+    ),
+    "q_format_more": (
+        ("part",),
+        "SELECT $.p_partkey AS k, FORMAT($.p_size, 'D3') AS d, FORMAT(0 - $.p_size, 'N0') AS n, FORMAT($.p_size, 'X4') AS x, FORMAT(0.25, 'P1') AS p, FORMAT(1234.5, 'C2') AS c, FORMAT(DATETIME('2020-01-15T10:30:00'), 'yyyy-MM-dd') AS t, FORMAT(1 = 1, '') AS b, FORMAT($.p_size, '000.0') AS z FROM part",
+        "SELECT p_partkey AS k, printf('%03d', p_size) AS d, CAST(-p_size AS VARCHAR) AS n, printf('%04X', p_size) AS x, '25.0 %' AS p, '¤1,234.50' AS c, '2020-01-15' AS t, 'True' AS b, printf('%05.1f', CAST(p_size AS DOUBLE)) AS z FROM part",
+    ),
+    "q_local_utc": (
+        ("orders",),
+        "SELECT $.o_orderkey AS k, TO_UTC(TO_LOCAL($.o_orderdate)) = $.o_orderdate AS same, HOUR(TO_LOCAL(DATETIME('2020-01-15T10:30:00'))) AS h FROM orders",
+        "SELECT o_orderkey AS k, true AS same, 10::INTEGER AS h FROM orders",
+    ),
+    "q_array_cast": (
+        ("carts",),
+        "SELECT $._id AS k, LENGTH(ARRAY($.qtys[*])) AS n, LENGTH(ARRAY(1)) AS one, FIRST(ARRAY(FILTER($.qtys[*] => @ > 40))) AS x, IS_ARRAY(ARRAY($.flags[*])) AS a FROM carts",
+        f"SELECT _id AS k, CAST(len(qtys) AS INTEGER) AS n, 1::INTEGER AS one, list_filter(qtys, lambda x: x > 40)[1] AS x, true AS a FROM {CARTS_SQL}",
+    ),
+    "q_multikey": (
+        ("carts",),
+        "SELECT $._id AS k FROM carts WHERE $.flags[*] ANY = 'R' AND $.qtys[*] ANY >= 49",
+        f"SELECT _id AS k FROM {CARTS_SQL} WHERE list_contains(flags, 'R') AND list_max(qtys) >= 49",
+    ),
     "q_array_index": (("carts",), "SELECT $._id AS k, $.qtys[0] AS a, $.qtys[-1] AS z, $.qtys[99] AS o, $.items[0].flag AS f FROM carts", f"SELECT _id AS k, qtys[1] AS a, qtys[-1] AS z, NULL::DOUBLE AS o, flags[1] AS f FROM {CARTS_SQL}"),
     "q_json_props": (("events",), "SELECT $.event_id AS k, INT(FIRST(MAP(ITEMS(JSON($.props)) => @.k))) AS v FROM events", "SELECT event_id AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) AS v FROM events"),
     "q_iif_coalesce": (
@@ -285,8 +360,7 @@ def _near(metric: str, k: int) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _temporary(spark: SparkSession, sf_dir: str, *names: str) -> Database:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return database(spark, sf_dir, *names, path=f"{base.rstrip('/')}/folioq-db-{uuid.uuid4().hex}")
+    return database(spark, sf_dir, *names, path=f"{scratch_folder(spark)}/folioq-db-{uuid.uuid4().hex}")
 
 
 def q_into(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +411,14 @@ def q_fluent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_volatile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return database(spark, sf_dir, "nation").execute("SELECT $.n_nationkey AS k, RANDOM(1, 10) AS r, GUID() AS g, OBJECTID() AS o, NOW() AS t, TODAY() AS d FROM nation")
+    """Values that differ from call to call, by what they must be."""
+    made = database(spark, sf_dir, "orders").execute("SELECT $.o_orderkey AS k, RANDOM(1, 10) AS r, RANDOM() AS p, GUID() AS g, OBJECTID() AS o, NOW() AS t, NOW_UTC() AS u, TODAY() AS d FROM orders")
+    kinds = made.selectExpr(
+        "k", "r >= 1 AND r < 10 AS r", "p >= 0 AS p", "g RLIKE '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$' AS g", "o RLIKE '^[0-9a-f]{24}$' AS o",
+        "abs(unix_timestamp(t) - unix_timestamp()) < 3600 AND t = u AS t", "d <= t AND d > t - INTERVAL 24 HOURS AS d",
+    )
+    seen = made.agg(F.count_distinct("g").alias("ids"), F.count_distinct("r").alias("numbers")).selectExpr("ids", "numbers > 1 AS varied")
+    return kinds.groupBy("r", "p", "g", "o", "t", "d").agg(F.count("*").alias("n")).crossJoin(seen)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _statement(n) for n in STATEMENTS} | {
@@ -345,6 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _statement(n)
     "q_vector_topk_euclid": _near("euclidean", 10),
     "q_vector_topk_dot": _near("dot", 10),
     **{f.__name__: f for f in (q_find_near, q_into, q_insert_update_delete, q_upsert, q_file_roundtrip, q_csv_roundtrip, q_fluent, q_volatile)},
+    **SCENARIOS,
 }
 _V = "CAST(embedding AS DOUBLE[])"
 ORACLE_SQL: dict[str, str] = {n: s for n, (_, _, s) in STATEMENTS.items()} | {
@@ -358,6 +440,8 @@ ORACLE_SQL: dict[str, str] = {n: s for n, (_, _, s) in STATEMENTS.items()} | {
     "q_file_roundtrip": "SELECT p_partkey AS k, p_name AS n FROM part",
     "q_csv_roundtrip": "SELECT s_suppkey AS k, s_name AS n FROM supplier",
     "q_fluent": "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_totalprice > 250000 AND o_orderpriority LIKE '1%' ORDER BY p DESC, k LIMIT 25 OFFSET 3",
+    "q_volatile": "SELECT true AS r, true AS p, true AS g, true AS o, true AS t, true AS d, count(*) AS n, count(*) AS ids, true AS varied FROM orders",
+    **SCENARIO_SQL,
 }
 
 

@@ -168,3 +168,57 @@ def test_every_reference_name_is_looked_up(spark):
     out = include(spark.range(1500).selectExpr("id", ref), "r", lookup)
     assert asked == {f"c{i}" for i in range(1500)}
     assert [(r.id, r.r["name"]) for r in out.where("r.name IS NOT NULL").collect()] == [(1234, "x")]
+
+
+def test_one_writer_wins(db):
+    """Of several who commit on one version one succeeds, also after checkpoints."""
+    db.execute("INSERT INTO t VALUES {_id: 1}")
+    late = Database(db.spark, db.storage.files.root)
+    late.begin()
+    late.insert("t", [{"_id": 50}])
+    for i in range(2, 5):
+        db.execute("INSERT INTO t VALUES {_id: %d}" % i)
+    db.execute("CHECKPOINT")
+    with pytest.raises(ConflictFault):
+        late.commit()
+    files = db.storage.files
+    assert files.write_once("_versions/x", "a") and not files.write_once("_versions/x", "b") and files.read("_versions/x") == "a"
+    assert db.query("t").count() == 4 and not late.execute("SELECT $ FROM t WHERE $._id = 50").count()
+    assert db.execute("CHECKPOINT") == 0  # what the late writer made is gone already
+
+
+def test_changes_survive_a_crash(db, monkeypatch):
+    """The log gets what a crash between commit and log has left, once."""
+    db.execute("INSERT INTO t VALUES {_id: 1}")
+    publish, calls = db.feed.publish, []
+
+    def broken(*args):
+        calls.append(args)
+        if len(calls) == 2:  # the first is at the beginning, the second after the commit
+            raise OSError("gone")
+        publish(*args)
+
+    monkeypatch.setattr(db.feed, "publish", broken)
+    with pytest.raises(OSError):
+        db.execute("INSERT INTO t VALUES {_id: 2}")
+    again = Database(db.spark, db.storage.files.root, change_log=db.feed.log)
+    again.execute("INSERT INTO t VALUES {_id: 3}")
+    again.execute("DELETE t WHERE $._id = 3")
+    rows = db.spark.read.parquet(db.feed.log).collect()
+    assert sorted((r.op, r.id) for r in rows) == [("Delete", "3"), ("Insert", "1"), ("Insert", "2"), ("Insert", "3")]
+
+
+def test_sequences_where_one_value_is_due(spark):
+    for text in ("SELECT ROUND($.a[*], 1) FROM c", "SELECT LENGTH($.a[*]) FROM c", "SELECT COALESCE($.a[*], 1) FROM c"):
+        with pytest.raises(BindFault):
+            Database(spark).attach("c", spark.createDataFrame([(1, [1.0])], "_id int, a array<double>")).execute(text)
+
+
+def test_empty_and_foreign_json_files(spark, tmp_path, db):
+    assert db.execute("SELECT {a: 1} INTO $file('none.json') FROM nowhere") == 0
+    (tmp_path / "files").mkdir(exist_ok=True)
+    for name, text in (("array", '[\n {"a": 1},\n {"a": 2}]'), ("lines", '{"a": 1}\n{"a": 2}\n'), ("late", '\n  \n{"a": 1}\n{"a": 2}')):
+        (tmp_path / "files" / f"{name}.json").write_text(text)
+        assert sorted(r.a for r in db.execute(f"SELECT $.a AS a FROM $file('{name}.json')").collect()) == [1, 2]
+    (tmp_path / "files" / "one.json").write_text('{\n "a":\n 5}')
+    assert [r.a for r in db.execute("SELECT $.a AS a FROM $file('one.json')").collect()] == [5]
