@@ -17,7 +17,7 @@ _CLASS = np.full(256, 4, np.uint8)
 _CLASS[48:58], _CLASS[97:123], _CLASS[65:91], _CLASS[128:] = 1, 2, 3, 2
 #: Bytes that are hashed together; longer texts go by parts that end between words. A run of more bytes without a blank counts as words of
 #: this length and a rest, from its start on, so that memory stays bounded; nothing of it is left out.
-PART = 1 << 20
+PART = 1 << 18
 _BLANKS = tuple(bytes([c]) for c in np.flatnonzero(_BLANK))
 #: Words of more bytes than this also count by the pieces inside them: in scripts without blanks a whole line is one word.
 LONG = 24
@@ -123,7 +123,7 @@ class Features:
         if not len(s):
             return np.zeros(0, np.int64), last
         row = np.searchsorted(starts, s, "right") - 1
-        up, down = _powers(1 << max(20, len(b).bit_length()))
+        up, down = _powers(1 << max(18, len(b).bit_length()))
         upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[b].astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
         piece = lambda a, z: (upto[z] - upto[a]) * down[a]
         word = piece(s, e)
