@@ -32,6 +32,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
+#: Texts that pass between the JVM and Python at once, where a table of these is written: a batch exists in both, and grows with the texts.
+TEXTS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize_texts(df: DataFrame) -> DataFrame:
+    """`materialize` for a frame that passes whole texts through Python: few of them at a time."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, min(TEXTS, int(before) if int(before) > 0 else TEXTS))
+    try:
+        return materialize(df)
+    finally:
+        conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """`df` written to the shared scratch folder and read again.
 
@@ -115,6 +131,22 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def pair_tasks(df: DataFrame, group: Column, member: Column, most: int) -> DataFrame:
+    """`df` with `pair`, so that any two rows of one group have a (group, pair) in common, and none of these has many more than 2 * `most` rows.
+
+    A group of `most` rows or fewer has the one pair 0. The rows of a larger one are dealt into blocks of about `most` by a hash of `member`, and each goes
+    to every pair of blocks that its own block is part of: one task for each, where otherwise the whole group would be one task.
+    """
+    name, blocks, mine, other, pair = spare(df, "__group", "__blocks", "__mine", "__other", "pair")
+    sizes = df.groupBy(group.alias(name)).agg(F.ceil(F.count(F.lit(1)) / most).alias(blocks)).where(F.col(blocks) > 1)
+    out = df.join(broadcast_if_small(materialize(sizes)), group == F.col(name), "left")
+    n = F.coalesce(F.col(blocks), F.lit(1))
+    out = out.withColumn(mine, F.pmod(F.xxhash64(member, F.lit(0)), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    out = out.where((F.col(mine) != F.col(other)) | (n == 1))
+    code = F.when(n > 1, 1 + F.least(mine, other) * n + F.greatest(mine, other)).otherwise(0)
+    return out.withColumn(pair, code.cast("long")).drop(name, blocks, mine, other)
+
+
 def numbered(df: DataFrame, keys: list[Column], name: str, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """`df` with `name`: 0, 1, 2, ... in the order of `keys`, without a window over all rows.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, columns_of, materialize, named, spare
+from .common import broadcast_if_small, columns_of, materialize, materialize_texts, named, pair_tasks, spare
 from .components import components
 
 #: Fixed by the ring: segment widths, and the differing bits allowed after l segments of a chain.
@@ -29,6 +29,8 @@ OFFSETS = tuple(accumulate((0, *WIDTHS[:-1])))
 MASKS = np.array([((1 << w) - 1) << o for w, o in zip(WIDTHS, OFFSETS)], dtype=np.uint64)
 SEED = 42
 CHUNK = 1 << 16
+#: Rows of one segment's value, and sets that share a band's value, that are compared in one task; more are split over tasks by pairs of blocks.
+CROWD, SETS = 1 << 16, 512
 #: Candidate pairs looked at together, and rows gathered before whole segment groups are searched.
 PAIRS, ROWS = 1 << 21, 1 << 17
 
@@ -176,7 +178,8 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 def shingle_links(members: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
     """Edges (u, v) between ids that join the components of all pairs that share a value and are alike. members: (b, id), sets: (id, shingles)."""
-    rows = members.join(sets, "id").select("b", "id", "shingles").repartition("b").sortWithinPartitions("b")
+    split = pair_tasks(members, F.col("b"), F.col("id"), SETS)
+    rows = split.join(sets, "id").select(F.xxhash64("b", "pair").alias("b"), "id", "shingles").repartition("b").sortWithinPartitions("b")
 
     def found(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         label = alike(sets, sketch.similarity)
@@ -216,14 +219,15 @@ def shingle_components(slim: DataFrame, keyed: DataFrame, sketch: Sketch) -> Dat
             part = part.withColumn("root", F.col("id"))
         else:
             part = part.join(broadcast_if_small(roots), part.id == roots.node, "left").select("id", "b", F.coalesce("root", "id").alias("root"))
+        shared = part.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
+        members = materialize(part.select("b", "id").join(broadcast_if_small(materialize(shared)), "b"))
         who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-        shared = part.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), *who).where("lo <> hi")
-        shared = materialize(shared.groupBy("n", "x1", "x2").agg(F.min("b").alias("b")).select("b"))
-        members = materialize(part.select("b", "id").join(broadcast_if_small(shared), "b"))
+        unlike = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *who).groupBy("n", "x1", "x2").agg(F.min("b").alias("b")).select("b")
+        members = materialize(members.join(broadcast_if_small(materialize(unlike)), "b"))
         wanted = materialize(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "rep.k", "rep.z"))
         texts = keyed.join(broadcast_if_small(wanted.select("k", "z").distinct()), ["k", "z"], "left_semi")
         sets = shingle_sets(texts, sketch).join(broadcast_if_small(wanted.select("id")), "id", "left_semi")
-        sets = materialize(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
+        sets = materialize_texts(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
         edges.append(materialize(shingle_links(members, sets, sketch)))
         roots = materialize(components(edges[0] if len(edges) == 1 else edges[0].unionAll(edges[1])))
     return roots
@@ -243,7 +247,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def ring_links(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, most_more: int) -> np.ndarray:
     """Positions' labels after all links among rows that share a chain's first segment.
 
-    keys, sorted: lane, first segment, its value, and in the lowest 13 bits the next segment's value. fps: the ring's
+    keys, sorted: which pair of blocks, lane, first segment, its value, and in the lowest 13 bits the next segment's value. fps: the ring's
     fingerprint (unsigned). more: further bits of each row (n x lanes), of which a linked pair differs in at most most_more.
     """
     n = len(keys)
@@ -290,7 +294,8 @@ def links(nodes: DataFrame, lanes: int = 1, most_more: int = 0) -> DataFrame:
 
     nodes: id (long, distinct), w (array of `lanes` fingerprints), s (array of further bits, may be empty). Each row
     is dealt out 5 * lanes times, by a segment and its value; a task joins what it finds and returns, for each
-    row that is not the first of its component there, one edge: never all pairs of a group.
+    row that is not the first of its component there, one edge: never all pairs of a group. A segment's value that more than CROWD rows
+    have is split over several tasks.
     """
     seg = lambda fp, i: F.shiftrightunsigned(fp, OFFSETS[i]).bitwiseAND((1 << WIDTHS[i]) - 1)
 
@@ -301,6 +306,8 @@ def links(nodes: DataFrame, lanes: int = 1, most_more: int = 0) -> DataFrame:
 
     rows = F.concat(*[dealt_as(lane) for lane in range(lanes)])
     dealt = nodes.select("id", "s", F.explode(rows).alias("x")).select(F.col("x.k").alias("k"), F.col("x.fp").alias("fp"), "id", "s")
+    dealt = pair_tasks(dealt, F.shiftright("k", 13), F.col("id"), CROWD)
+    dealt = dealt.select((F.shiftleft("pair", 40) + F.col("k")).alias("k"), "fp", "id", "s")
     dealt = dealt.repartition(F.expr("shiftright(k, 13)")).sortWithinPartitions("k")
 
     def found(batch: pa.Table) -> pa.RecordBatch:
@@ -339,7 +346,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, text: str = "text", do
     become one (null if all ids are null); repeated rows are returned as often as they come. An empty table gives
     no rows; other columns are not read.
     """
-    slim = materialize(fingerprints(docs, shingle=shingle, text=text, doc_id=doc_id))
+    slim = materialize_texts(fingerprints(docs, shingle=shingle, text=text, doc_id=doc_id))
     reps = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     nodes = reps.select(F.col("fp").alias("id"), F.array("fp").alias("w"), F.array().cast("array<long>").alias("s"))
     told = _component_ids(reps.withColumnRenamed("fp", "id"), components(links(nodes)))
@@ -361,7 +368,7 @@ def _marked(docs: DataFrame, sketch: Sketch, text: str, doc_id: str) -> DataFram
     id it is a hash of the text, and z true, so that such rows come after all others."""
     k, z = row_key(doc_id, text)
     keyed = docs.select(k.alias("k"), z.alias("z"), named(text).cast("string").alias("text"))
-    slim = materialize(sketches(keyed, sketch))
+    slim = materialize_texts(sketches(keyed, sketch))
     reps = materialize(slim.groupBy("id").agg(F.min(F.struct("z", "k")).alias("rep")))
     told = _component_ids(reps, shingle_components(slim, keyed, sketch))
     out = slim.select("k", "z", "id").join(told, "id")

@@ -3,8 +3,10 @@ import random
 import numpy as np
 import xxhash
 from helpers import awkward, nothing
+from pyspark.sql import functions as F
 
 from folioq.llm import simhash as S
+from folioq.llm.common import pair_tasks
 from folioq.llm.components import components
 
 
@@ -162,6 +164,30 @@ def test_every_kind_of_edit_is_found(spark):
     assert kept & {1000, 1001, 1002, 1003, 1004} == {1000, 1002, 1004}
 
 
+def test_crowds_are_split(spark, monkeypatch):
+    """Groups far over the limits of one task: the same links, and no task with a whole group."""
+    monkeypatch.setattr(S, "CROWD", 5)
+    monkeypatch.setattr(S, "SETS", 3)
+    rng = random.Random(9)
+    base = [f"t{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        mine = list(base)
+        mine[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(mine))
+    df = spark.createDataFrame(list(enumerate(texts + ["quite another text"])), "doc_id long, text string")
+    held_against_brute_force(df)
+    groups = {r.doc_id: r.component_id for r in S.near_groups(df).collect()}
+    assert groups == {**dict.fromkeys(range(60), 0), 60: 60}
+    crowd = spark.range(100).selectExpr("id", "id % 2 AS g")
+    got = pair_tasks(crowd, F.col("g"), F.col("id"), 10).collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault((r.g, r.pair), set()).add(r.id)
+    assert max(map(len, tasks.values())) < 50
+    assert all(any({a, b} <= t for t in tasks.values()) for a in range(100) for b in range(a % 2, a, 2))
+
+
 def test_alike_is_brute_force():
     rng = random.Random(6)
     for _ in range(200):
