@@ -173,3 +173,39 @@ def test_plain_at_after_other_words(text):
 def test_plain_at_takes_linear_time():
     for t in ("1a" * 1_000_000 + " at example.com", "a1 at " * 300_000, "a1 at b." * 200_000, "a1 at " + "b." * 500_000, "a1 at " + "b" * 1_000_000):
         pii.find_pii(t)
+
+
+def test_spelled_numbers_keep_their_place():
+    """Long spelled numbers stay where they are, whatever other disguises are undone around them."""
+    text = "write to joe [at] foo [dot] com or call five five five one two three four five six seven now, or ann [at] bar [dot] org"
+    _, more = pii.find_pii(text)
+    assert [(k, text[s:e]) for k, s, e in more] == [("email", "joe [at] foo [dot] com"), ("email", "ann [at] bar [dot] org"), ("phone", "five five five one two three four five six seven")]
+    assert pii.masked(text) == "write to [EMAIL] or call [PHONE] now, or [EMAIL]"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["one ", "two ", "dot ", "plus ", "five, ", "six-", "seven. ", "x ", "joe [at] foo [dot] com ", "a@b.cc ", "é", "о", "10.0.0.1 ", "bob at mail dot example dot org ", "٣"]), max_size=30))
+def test_spans_lie_in_the_text(parts):
+    t = "".join(parts)
+    base, more = pii.find_pii(t)
+    assert all(0 <= s < e <= len(t) and t[s:e].strip() == t[s:e] for _, s, e in base + more)
+    spans = {k: [(s, e) for kind, s, e in base if kind == k] for k in pii.KINDS}
+    assert not any(s <= a and z <= e for k, a, z in more for s, e in spans[k])
+
+
+@pytest.mark.parametrize("part", ["one dot ", "a@b.cc x [at] y [dot] com ", "one two three ", "one two three four five six seven eight nine zero, ", "a@b.cc 10.0.0.1 ", "plus one ", "six. "])
+def test_disguises_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        t = part * n + "joe [at] foo [dot] com"
+        best = min(_timed(lambda: pii.masked(t), time.perf_counter) for _ in range(3))
+        took.append(best)
+    assert took[1] < 10 * took[0] + 0.2
+
+
+def _timed(act, clock):
+    began = clock()
+    act()
+    return clock() - began
