@@ -17,7 +17,7 @@ from folioq import queries as core  # noqa: E402
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 NAMES = [
-    "q_minimum_slice", "q_filter_cmp", "q_group_sum_avg", "q_whole_agg", "q_having", "q_group_order_topk", "q_sort_multi", "q_top_n", "q_offset",
+    "q_minimum_slice", "q_filter_cmp", "q_group_sum_avg", "q_whole_agg", "q_having", "q_group_order_topk", "q_sort_multi", "q_sort_full", "q_top_n", "q_offset",
     "q_include_customer", "q_array_any_all", "q_strings", "q_datediff", "q_vector_topk_cosine", "q_json_props",
 ]
 

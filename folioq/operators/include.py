@@ -40,8 +40,12 @@ def include(df: DataFrame, name: str, lookup: Callable[[str], DataFrame | None],
         t = found.schema
         got = found.select(F.col("_id").alias(f"__id{k}"), F.struct("*").alias(f"__doc{k}"))
         here = F.lower(field(ref, "$ref").col) == target.lower()
-        side = out.withColumn(f"__want{k}", F.when(here, field(ref, "$id").col))
-        out = side.join(got, F.col(f"__want{k}") == F.col(f"__id{k}"), "left")
+        want = F.when(here, field(ref, "$id").col)
+        # rows that want nothing here would meet in one partition: a second key spreads them
+        spread = F.when(want.isNotNull() | F.lit(key not in df.columns), F.xxhash64(want.cast(t["_id"].dataType))).otherwise(F.xxhash64(F.col(key) if key in df.columns else F.lit(0)))
+        side = out.withColumns({f"__want{k}": want, f"__spread{k}": spread})
+        got = got.withColumn(f"__hash{k}", F.xxhash64(f"__id{k}"))
+        out = side.join(got, (F.col(f"__want{k}") == F.col(f"__id{k}")) & (F.col(f"__spread{k}") == F.col(f"__hash{k}")), "left")
         doc, hit = Val(F.col(f"__doc{k}"), t), F.col(f"__id{k}").isNotNull()
         parts = [field(ref, "$id").col.alias("$id"), F.when(~hit, field(ref, "$ref").col).alias("$ref"), F.when(~hit, F.lit(True)).alias("$missing")]
         parts += [field(doc, f.name).col.alias(f.name) for f in t.fields if f.name.lower() != "_id"]

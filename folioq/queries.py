@@ -239,6 +239,11 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str, str]] = {
         "SELECT $._id AS k, JOIN(SORT(UNION($.flags, ['N', 'Z']) => @), '') AS u, JOIN(SORT(EXCEPT($.flags, ['N']) => @), '') AS e, COUNT(DISTINCT($.flags[*])) AS d, COUNT(CONCAT($.flags, $.qtys)) AS c, SUM(TOP($.qtys, 2)) AS t, JOIN(CONCAT(TOP($.flags, 1), ['x']), '-') AS j FROM carts",
         f"SELECT _id AS k, array_to_string(list_sort(list_distinct(list_concat(flags, ['N', 'Z']))), '') AS u, coalesce(array_to_string(list_sort(list_distinct(list_filter(flags, lambda x: x <> 'N'))), ''), '') AS e, CAST(len(list_distinct(flags)) AS INTEGER) AS d, CAST(2 * len(flags) AS INTEGER) AS c, list_sum(qtys[1:2]) AS t, flags[1] || '-x' AS j FROM {CARTS_SQL}",
     ),
+    "q_sort_full": (
+        ("lineitem",),
+        "SELECT $.l_orderkey AS k, $.l_linenumber AS n, $.l_extendedprice AS p FROM lineitem ORDER BY $.l_extendedprice DESC",
+        "SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS p FROM lineitem ORDER BY l_extendedprice DESC",
+    ),
     "q_keys_values": (
         ("nation",),
         "SELECT $.n_nationkey AS k, JOIN(KEYS({a: 1, b: $.n_name}), ',') AS ks, JOIN(VALUES({a: $.n_nationkey, b: $.n_name}), ',') AS vs, JOIN(KEYS(EXTEND({a: 1}, {c: 2})), '') AS x, COUNT(ITEMS([1, 2, 3])) AS n FROM nation",
