@@ -196,8 +196,9 @@ def json_items(text: Column) -> Column:
 def field(v: Val, name: str) -> Val:
     """A document's field, found in any case; null if it has none, and for what is not a document. Fields of JSON are found by their very name first."""
     if isinstance(v.type, JsonText):
-        low = F.map_filter(json_fields(v.col), lambda k, _: F.lower(k) == name.lower())
-        return Val(F.coalesce(F.try_element_at(low, F.lit(name)), F.get(F.map_values(low), F.lit(0))), JsonText())
+        made = json_fields(v.col)
+        other = F.map_values(F.map_filter(made, lambda k, _: F.lower(k) == name.lower()))
+        return Val(F.coalesce(F.try_element_at(made, F.lit(name)), F.get(other, F.lit(0))), JsonText())
     if isinstance(v.type, T.StructType):
         for f in v.type.fields:
             if f.name.lower() == name.lower():
