@@ -32,20 +32,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
-#: Texts that pass between the JVM and Python at once, where a table of these is written: a batch exists in both, and grows with the texts.
-TEXTS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts, and bytes of them, that pass between the JVM and Python at once, where a table of these is written: a batch exists in both, and grows with
+#: the texts. A single longer text is a batch of its own.
+TEXTS, TEXT_BYTES = 1000, 4 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def materialize_texts(df: DataFrame) -> DataFrame:
-    """`materialize` for a frame that passes whole texts through Python: few of them at a time."""
+    """`materialize` for a frame that passes whole texts, or sets made of them, through Python: few of them at a time."""
     conf = df.sparkSession.conf
-    before = conf.get(_BATCH)
-    conf.set(_BATCH, min(TEXTS, int(before) if int(before) > 0 else TEXTS))
+    before = {name: conf.get(name) for name in (_BATCH, _BYTES)}
+    conf.set(_BATCH, min(TEXTS, int(before[_BATCH]) if int(before[_BATCH]) > 0 else TEXTS))
+    conf.set(_BYTES, str(TEXT_BYTES))
     try:
         return materialize(df)
     finally:
-        conf.set(_BATCH, before)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def shingle_components(slim: DataFrame, keyed: DataFrame, sketch: Sketch) -> Dat
         texts = keyed.join(broadcast_if_small(wanted.select("k", "z").distinct()), ["k", "z"], "left_semi")
         sets = shingle_sets(texts, sketch).join(broadcast_if_small(wanted.select("id")), "id", "left_semi")
         sets = materialize_texts(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
-        edges.append(materialize(shingle_links(members, sets, sketch)))
+        edges.append(materialize_texts(shingle_links(members, sets, sketch)))
         roots = materialize(components(edges[0] if len(edges) == 1 else edges[0].unionAll(edges[1])))
     return roots
 
