@@ -134,14 +134,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def pair_tasks(df: DataFrame, group: Column, member: Column, most: int) -> DataFrame:
+def pair_tasks(df: DataFrame, group: Column, member: Column, most: int, weight: Column | None = None) -> DataFrame:
     """`df` with `pair`, so that any two rows of one group have a (group, pair) in common, and none of these has many more than 2 * `most` rows.
 
-    A group of `most` rows or fewer has the one pair 0. The rows of a larger one are dealt into blocks of about `most` by a hash of `member`, and each goes
+    A group of `most` rows (of weight 1, or as `weight` says) or fewer has the one pair 0. The rows of a larger one are dealt into blocks of about `most` by a hash of `member`, and each goes
     to every pair of blocks that its own block is part of: one task for each, where otherwise the whole group would be one task.
     """
     name, blocks, mine, other, pair = spare(df, "__group", "__blocks", "__mine", "__other", "pair")
-    sizes = df.groupBy(group.alias(name)).agg(F.ceil(F.count(F.lit(1)) / most).alias(blocks)).where(F.col(blocks) > 1)
+    sizes = df.groupBy(group.alias(name)).agg(F.ceil(F.sum(F.lit(1) if weight is None else weight) / most).alias(blocks)).where(F.col(blocks) > 1)
     out = df.join(broadcast_if_small(materialize(sizes)), group == F.col(name), "left")
     n = F.coalesce(F.col(blocks), F.lit(1))
     out = out.withColumn(mine, F.pmod(F.xxhash64(member, F.lit(0)), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))

@@ -31,6 +31,8 @@ SEED = 42
 CHUNK = 1 << 16
 #: Rows of one segment's value, and sets that share a band's value, that are compared in one task; more are split over tasks by pairs of blocks.
 CROWD, SETS = 1 << 16, 512
+#: A set of more shingles than these counts as several.
+SHINGLES = 1 << 12
 #: Candidate pairs looked at together, and rows gathered before whole segment groups are searched.
 PAIRS, ROWS = 1 << 21, 1 << 17
 
@@ -177,8 +179,9 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def shingle_links(members: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
-    """Edges (u, v) between ids that join the components of all pairs that share a value and are alike. members: (b, id), sets: (id, shingles)."""
-    split = pair_tasks(members, F.col("b"), F.col("id"), SETS)
+    """Edges (u, v) between ids that join the components of all pairs that share a value and are alike. members: (b, id), sets: (id, n, shingles)."""
+    sized = members.join(broadcast_if_small(sets.select("id", "n")), "id")
+    split = pair_tasks(sized, F.col("b"), F.col("id"), SETS, F.greatest(F.lit(1.0), F.col("n") / SHINGLES)).drop("n")
     rows = split.join(sets, "id").select(F.xxhash64("b", "pair").alias("b"), "id", "shingles").repartition("b").sortWithinPartitions("b")
 
     def found(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -227,7 +230,8 @@ def shingle_components(slim: DataFrame, keyed: DataFrame, sketch: Sketch) -> Dat
         wanted = materialize(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "rep.k", "rep.z"))
         texts = keyed.join(broadcast_if_small(wanted.select("k", "z").distinct()), ["k", "z"], "left_semi")
         sets = shingle_sets(texts, sketch).join(broadcast_if_small(wanted.select("id")), "id", "left_semi")
-        sets = materialize_texts(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
+        sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
+        sets = materialize_texts(sets.select("id", F.size("shingles").alias("n"), "shingles"))
         edges.append(materialize_texts(shingle_links(members, sets, sketch)))
         roots = materialize(components(edges[0] if len(edges) == 1 else edges[0].unionAll(edges[1])))
     return roots

@@ -200,3 +200,12 @@ def test_alike_is_brute_force():
                     for k in (both := near[i] | near[j]):
                         near[k] = both
         assert S.alike(sets, 0.8).tolist() == [min(n) for n in near]
+
+
+def test_heavy_rows_make_more_blocks(spark):
+    rows = spark.range(40).select(F.lit(1).alias("g"), "id", F.lit(4.0).alias("w"))
+    assert pair_tasks(rows, F.col("g"), F.col("id"), 50).select("pair").distinct().count() == 1
+    got = pair_tasks(rows, F.col("g"), F.col("id"), 50, F.col("w")).collect()
+    tasks = {p: {r.id for r in got if r.pair == p} for p in {r.pair for r in got}}
+    assert len(tasks) == 6 and max(map(len, tasks.values())) < 40  # four blocks, two at a time
+    assert all(any({a, b} <= t for t in tasks.values()) for a in range(40) for b in range(a))
