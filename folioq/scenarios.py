@@ -87,20 +87,37 @@ def q_json_lines_by_another_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.execute("SELECT $.k AS k, $.n AS n FROM $file('" + out + "')")
 
 
-@scenario("SELECT count(*) AS files, sum(octet_length(encode(html))) AS bytes, sum(greatest(1, CAST(ceil(octet_length(encode(html)) / 261120.0) AS BIGINT))) AS chunks, true AS same FROM pages WHERE page_id < 20")
+def pages_as_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf_dir, "pages")
+    name = F.concat(F.lit("page"), "page_id", F.lit(".html"))
+    return blobs.stored(pages.select(F.col("page_id").alias("_id"), name.alias("filename"), F.encode("html", "UTF-8").alias("content")), 1000)
+
+
+@scenario("""SELECT page_id AS id, 'page' || page_id || '.html' AS filename, 'text/html' AS mime, octet_length(encode(html)) AS length,
+  CAST(ceil(octet_length(encode(html)) / 1000.0) AS INTEGER) AS chunks, md5(html) AS sum FROM pages""")
 def q_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty pages as files: uploaded in chunks, told by their facts, and read back byte by byte."""
-    folder = f"{scratch_folder(spark)}/folioq-blobs-{uuid.uuid4().hex}"
-    for r in (rows := table(spark, sf_dir, "pages").where("page_id < 20").select("page_id", "html").collect()):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/page{r.page_id}.html")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(r.html.encode()))
-        out.close()
-    files, chunks = blobs.upload(spark, f"{folder}/*.html")
-    told = files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sum("chunks").cast("long").alias("chunks")).first()
-    paths = {r.filename: r._id for r in files.select("filename", "_id").collect()}
-    same = all(b"".join(blobs.download(chunks, paths[f"page{r.page_id}.html"])) == r.html.encode() for r in rows[:3])
-    return facts(spark, files=told.files, bytes=told.bytes, chunks=told.chunks, same=same)
+    """Every page as a file in chunks of 1000 bytes: its facts, and a sum over what is read back."""
+    files, chunks = pages_as_files(spark, sf_dir)
+    read = blobs.contents(files, chunks, chunk=1000).select("_id", F.md5("content").alias("sum"))
+    return files.join(read, "_id").select(F.col("_id").alias("id"), "filename", F.col("mimeType").alias("mime"), "length", "chunks", "sum")
+
+
+@scenario("SELECT page_id AS id, substr(hex(encode(html)), 1801, 2400) AS part FROM pages")
+def q_blobs_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes 900 to 2099 of every page, out of the chunks that hold them."""
+    files, chunks = pages_as_files(spark, sf_dir)
+    return blobs.contents(files, chunks, 900, 1200, chunk=1000).select(F.col("_id").alias("id"), F.hex("content").alias("part"))
+
+
+@scenario("""SELECT page_id AS id, CASE WHEN octet_length(encode(html)) > 2000 THEN '{"long":true}' END AS metadata,
+  CAST(ceil(octet_length(encode(html)) / 1000.0) AS BIGINT) AS chunks FROM pages WHERE octet_length(encode(html)) >= 1000""")
+def q_blobs_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short files go with their chunks; long ones get metadata."""
+    files, chunks = pages_as_files(spark, sf_dir)
+    files, chunks = blobs.deleted(blobs.with_metadata(files, F.col("length") > 2000, '{"long":true}'), chunks, F.col("length") < 1000)
+    left = chunks.groupBy(F.col("_id.f").alias("f")).agg(F.count("*").alias("n"))
+    out = files.join(left, F.col("_id") == F.col("f"), "full")
+    return out.select(F.coalesce("_id", "f").alias("id"), "metadata", F.coalesce("n", F.lit(0)).cast("long").alias("chunks"))
 
 
 # Transactions and writes
