@@ -451,21 +451,45 @@ fn("INT32", "INT", n=1)(_to_int(INT))
 fn("INT64", "LONG", n=1)(_to_int(LONG))
 
 
-def _culture(v: Val) -> None:
-    name = str(constant(v, "a culture"))
-    if name.lower() not in ("", "en", "en-us", "invariant"):
-        raise BindFault(f"culture {name!r} is not supported: only the invariant one")
+#: Separators of groups of digits, the decimal point, and the short date, by culture; first the invariant one.
+CULTURES = {
+    "": (",", ".", "M/d/yyyy"),
+    "en-US": (",", ".", "M/d/yyyy"),
+    "en-GB": (",", ".", "d/M/yyyy"),
+    "de-DE": (".", ",", "d.M.yyyy"),
+    "es-ES": (".", ",", "d/M/yyyy"),
+    "fr-FR": ("\u202f\u00a0", ",", "d/M/yyyy"),
+    "it-IT": (".", ",", "d/M/yyyy"),
+    "ja-JP": (",", ".", "yyyy/M/d"),
+    "zh-CN": (",", ".", "yyyy/M/d"),
+}
+
+
+def _culture(v: Val | None) -> tuple[str, str, str]:
+    """By name, or by the language of the first that has it."""
+    name = str(constant(v, "a culture")).lower() if v else ""
+    for known, values in CULTURES.items():
+        if name in (known.lower(), known.lower().split("-")[0]) or name == "invariant":
+            return values
+    raise BindFault(f"culture {name!r} is not supported: only {', '.join(filter(None, CULTURES))} and the invariant one")
 
 
 def _to_real(t: T.DataType) -> Callable[..., Val]:
     def cast(v: Val, culture: Val | None = None) -> Val:
-        if culture:
-            _culture(culture)
+        """Groups may be set apart after the first digit; brackets around a number stand for a minus sign."""
+        groups, point, _ = _culture(culture)
         if v.kind in NUMBERS:
             return Val(v.col.try_cast(t), t)
-        if v.kind == "string":
-            return Val(F.regexp_replace(F.trim(v.col), ",", "").try_cast(t), t)
-        return null(t)
+        if v.kind != "string":
+            return null(t)
+        digits = rf"(?:[0-9][0-9{groups}]*(?:[{point}][0-9]*)?|[{point}][0-9]+)(?:[eE][+-]?[0-9]+)?"
+        bare = F.trim(v.col, F.lit(BLANKS))
+        plain = F.translate(F.translate(bare, f"{groups}()", ""), point, ".")
+        number = F.when(bare.rlike(rf"^[+-]?{digits}$"), plain).when(bare.rlike(rf"^\({digits}\)$"), F.concat(F.lit("-"), plain))
+        if t == DOUBLE:
+            endless = "\u221e" if culture and constant(culture, "a culture") else "Infinity"
+            number = F.when(bare.rlike("^[+-]?NaN$"), "NaN").when(bare.rlike(f"^[+-]?{endless}$"), F.replace(bare, F.lit(endless), F.lit("Infinity"))).otherwise(number)
+        return Val(number.try_cast(t), t)
 
     return cast
 
@@ -507,11 +531,12 @@ def milliseconds(c: Column) -> Column:
 def datetime(a: Val, b: Val | None = None, c: Val | None = None) -> Val:
     if c:
         return Val(F.try_make_timestamp(a.col, b.col, c.col, F.lit(0), F.lit(0), F.lit(0)), DATE)
-    if b:
-        _culture(b)
+    short = _culture(b)[2]
     if a.kind == "date":
         return Val(milliseconds(a.col), DATE)
-    return Val(milliseconds(F.try_to_timestamp(a.col)), DATE) if a.kind == "string" else null(DATE)
+    if a.kind != "string":
+        return null(DATE)
+    return Val(milliseconds(F.coalesce(F.try_to_timestamp(a.col), F.try_to_timestamp(F.trim(a.col), F.lit(f"{short}[ H:m[:s]]")))), DATE)
 
 
 fn("NOW", "NOW_UTC", n=0)(lambda: Val(milliseconds(F.current_timestamp()), DATE))

@@ -259,6 +259,11 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str, str]] = {
         "SELECT $.p_partkey AS k, DOUBLE('1,234.5') AS d, DOUBLE(STRING($.p_size)) + 0.5 AS e, INT(' 42 ') AS i, IS_NULL(INT('4x')) AS bad, LONG($.p_size) * 10000000000 AS l, STRING($.p_size) AS s, BOOL('True') AS t, DAY(DATETIME('2020-02-29')) AS y, IS_NULL(DATETIME('soon')) AS never, MONTH(DATETIME_UTC(2021, 3, 4)) AS m FROM part",
         "SELECT p_partkey AS k, 1234.5::DOUBLE AS d, p_size + 0.5::DOUBLE AS e, 42::INTEGER AS i, true AS bad, p_size * 10000000000 AS l, CAST(p_size AS VARCHAR) AS s, true AS t, 29::INTEGER AS y, true AS never, 3::INTEGER AS m FROM part",
     ),
+    "q_cultures": (
+        ("part",),
+        "SELECT $.p_partkey AS k, DOUBLE(REPLACE(STRING($.p_retailprice), '.', ','), 'de-DE') AS price, DOUBLE('1.234,5', 'de-DE') AS g, DOUBLE('(1.5)') AS minus, IS_NULL(DOUBLE('.5', 'de-DE')) AS bare, DOUBLE('-Infinity') < 0 AS endless, IS_NULL(DOUBLE('\u221e')) AS sign, DAY(DATETIME('15.01.2020', 'de-DE')) AS d, IS_NULL(DATETIME('1/15/2020', 'de-DE')) AS never, MONTH(DATETIME('3/15/2020')) AS m, HOUR(DATETIME('15/1/2020 10:30', 'en-GB')) AS h FROM part",
+        "SELECT p_partkey AS k, p_retailprice AS price, 1234.5::DOUBLE AS g, -1.5::DOUBLE AS minus, true AS bare, true AS endless, true AS sign, 15::INTEGER AS d, true AS never, 3::INTEGER AS m, 10::INTEGER AS h FROM part",
+    ),
     "q_decimal": (
         ("lineitem",),
         "SELECT {flag: @key, s: ROUND(DOUBLE(SUM(MAP(* => DECIMAL(@.l_quantity)))), 2), a: ROUND(DOUBLE(AVG(MAP(* => DECIMAL(@.l_quantity)))), 4)} FROM lineitem GROUP BY $.l_returnflag",
