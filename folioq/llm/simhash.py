@@ -5,6 +5,10 @@ the pigeonring principle (Qin and Xiao, 2018) some segment starts a chain all of
 floor(4 l / 5) bits: 0 in the first segment, at most 1 in the first two, 2 in three, 3 in four, 4 in all. So rows are dealt by
 (first segment, its value), sorted by the next segment, and only neighbours that differ in at most one bit of the next segment are
 looked at; the chain is then followed, and what is left gets the full Hamming check. No pair is lost.
+
+The pipeline asks for copies down to a Jaccard similarity of 0.8, whose fingerprints differ in about 15 % of their bits. So there a fingerprint has
+2048 bits in segments of 16, more than enough for some segment to be equal (see `Sketch`); rows are dealt by segments, checked by their Hamming
+distance, and what is left is compared by shingles.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ CROWD, SETS = 1 << 16, 512
 SHINGLES = 1 << 12
 #: Candidate pairs looked at together, and rows gathered before whole segment groups are searched.
 PAIRS, ROWS = 1 << 21, 1 << 17
+#: Of the pipeline's long fingerprints: bits of a segment, and rows of one segment's value that are compared pair by pair; more are searched from row to row.
+SEGMENT, BUCKET = 16, 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -64,9 +70,9 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Other 64 bits for each hash: the finalizer of SplitMix64 over the hash shifted by the lane's constant."""
-    z = hashes + np.uint64((lane * 0x9E3779B97F4A7C15) % 2**64)
+def mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """Other 64 bits for each hash (rows) and lane (columns): the finalizer of SplitMix64 over the hash shifted by the lane's constant."""
+    z = hashes[:, None] + np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
@@ -90,34 +96,36 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", doc_i
 
 @dataclass(frozen=True)
 class Sketch:
-    """How the pipeline compares documents: a pair is proposed if it shares the least hashes of one of `bands` bands of `rows` hash
-    functions over `shingle`-word shingles, and linked if the Jaccard similarity of its shingle sets, counted in full, is `similarity`
-    or more. A pair of similarity j is proposed with probability 1 - (1 - j^rows)^bands, whatever the edit that parts its texts.
-    The `first` bands come in a round of their own."""
-
-    bands: int = 40
-    first: int = 8
-    rows: int = 7
+    """How the pipeline compares documents: by SimHash fingerprints of `words` times 64 bits over the sets of their `shingle`-word shingles. A pair is
+    proposed if a segment (SEGMENT bits) of its fingerprints is equal and their first `check` words differ in at most `most` bits, and linked if the Jaccard
+    similarity of its shingle sets, counted in full, is `similarity` or more.
+
+    If a share p of the bits differs, 1 - (1 - (1 - p)^16)^128 of the pairs have an equal segment. At a similarity of 0.8 p is 0.153 at most, whatever the
+    edit that parts the texts. Only in sets of few shingles, where one decides more bits, p is up to 0.188: sets of at most `few` have `more` words.
+    The segments of the `first` words come in a round of their own."""
+
+    words: int = 32
+    few: int = 64
+    more: int = 64
+    first: int = 4
+    check: int = 3
+    most: int = 60
     shingle: int = 5
     similarity: float = 0.8
 
 
-def least_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """For each of n hash functions (odd multiples of the upper halves, plus a constant, in 32 bits) its least value over `hashes`."""
-    factor, shift = (mixed(np.arange(n, dtype=np.uint64), i).astype(np.uint32)[:, None] for i in (1, 2))
-    least = np.full(n, 2**32 - 1, np.uint32)
-    upper = (hashes >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(upper), 1 << 10):
-        least = np.minimum(least, (upper[i : i + (1 << 10)] * (factor | np.uint32(1)) + shift).min(axis=1))
-    return least
-
-
-def band_values(shingles: np.ndarray, sketch: Sketch) -> list[int]:
-    """A value for each band; equal values of unlike bands do not occur but by chance. None without shingles."""
-    if not len(shingles):
-        return []
-    least = least_hashes(shingles, sketch.bands * sketch.rows).reshape(sketch.bands, sketch.rows)
-    return [signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least)]
+def long_fingerprint(shingles: np.ndarray, sketch: Sketch) -> np.ndarray:
+    """The fingerprint of a set of shingles (sorted hashes) in words of 64 bits; none without shingles. Each word is the majority of other hashes of the shingles:
+    a bit is 1 if it is set in over half of them. Of an even number of shingles the least counts twice, so that there are no ties."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(0, np.uint64)
+    words = sketch.more if n <= sketch.few else sketch.words
+    bits = lambda part: np.unpackbits(mixed(part, words).view(np.uint8), axis=1, bitorder="little")
+    ones = bits(shingles[:1])[0].astype(np.int64) * (1 - n % 2)
+    for i in range(0, n, 255):
+        ones += bits(shingles[i : i + 255]).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones > n // 2, bitorder="little").view(np.uint64)
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -126,18 +134,18 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def sketches(keyed: DataFrame, sketch: Sketch) -> DataFrame:
-    """`keyed` (k, z, text) without its texts, but with the id of each one's shingle set and its bands."""
+    """`keyed` (k, z, text) without its texts, but with the id of each one's shingle set and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, bands = [], []
+            ids, fps = [], []
             for t in b.column(2):
                 shingles = np.unique(shingle_hashes(words_of(t.as_py()), sketch.shingle))
                 ids.append(set_id(shingles))
-                bands.append(band_values(shingles, sketch))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["k", "z", "id", "bands"])
+                fps.append(long_fingerprint(shingles, sketch).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(ids, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["k", "z", "id", "fp"])
 
-    return keyed.mapInArrow(run, "k long, z boolean, id long, bands array<long>")
+    return keyed.mapInArrow(run, "k long, z boolean, id long, fp array<long>")
 
 
 def shingle_sets(keyed: DataFrame, sketch: Sketch) -> DataFrame:
@@ -207,23 +215,21 @@ def shingle_links(members: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFr
 
 
 def shingle_components(slim: DataFrame, keyed: DataFrame, sketch: Sketch) -> DataFrame:
-    """(node, root) of the components of all pairs of ids that share a band's value and are alike. slim: (k, z, id, bands), keyed: (k, z, text).
+    """(node, root) of the components of all pairs of ids that their fingerprints propose and that are alike. slim: (k, z, id, fp), keyed: (k, z, text).
 
-    Bands are looked at in two rounds. A value whose members the first round has joined has nothing to add, so the second
-    looks only at values that bring unlike components together; and values with the same members are looked at once.
-    Shingles are made anew from the texts, but only of one text for each id that shares a value with another.
+    Segments are looked at in two rounds. A group that the first round has joined has nothing to add, so the second
+    looks only at groups that bring unlike components together; and groups of the same members are looked at once.
+    Shingles are made anew from the texts, but only of one text for each id that is in a group.
     """
-    dealt = materialize(slim.groupBy("id").agg(F.first("bands").alias("bands"))).select("id", F.posexplode("bands").alias("band", "b"))
+    prints = materialize(slim.groupBy("id").agg(F.first("fp").alias("fp")))
     reps = materialize(slim.groupBy("id").agg(F.min(F.struct("z", "k")).alias("rep")))
     edges, roots = [], None
-    for band in (F.col("band") < sketch.first, F.col("band") >= sketch.first):
-        part = dealt.where(band).select("id", "b")
-        if roots is None:
-            part = part.withColumn("root", F.col("id"))
-        else:
-            part = part.join(broadcast_if_small(roots), part.id == roots.node, "left").select("id", "b", F.coalesce("root", "id").alias("root"))
-        shared = part.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
-        members = materialize(part.select("b", "id").join(broadcast_if_small(materialize(shared)), "b"))
+    for words in ((0, sketch.first), (sketch.first, max(sketch.words, sketch.more))):
+        members = materialize(proposed(prints, sketch, *words))
+        if roots is not None:
+            part = members.join(broadcast_if_small(roots), members.id == roots.node, "left").select("id", "b", F.coalesce("root", "id").alias("root"))
+            shared = part.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
+            members = materialize(members.join(broadcast_if_small(materialize(shared)), "b"))
         who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
         unlike = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *who).groupBy("n", "x1", "x2").agg(F.min("b").alias("b")).select("b")
         members = materialize(members.join(broadcast_if_small(materialize(unlike)), "b"))
@@ -248,6 +254,48 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+def _pairs(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of `a` with every position from its `lo` to before its `hi`, about PAIRS at a time."""
+    size = hi - lo
+    keep = size > 0
+    a, lo, size = a[keep], lo[keep], size[keep]
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(a):
+        base = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, base + PAIRS, "right")))
+        x = np.repeat(a[at:to], size[at:to])
+        off = np.arange(len(x)) - np.repeat(upto[at:to] - size[at:to] - base, size[at:to])
+        yield x, np.repeat(lo[at:to], size[at:to]) + off
+        at = to
+
+
+def segment_links(keys: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+    """Positions' labels after all links among rows of one key whose `words` (n x words) differ in at most `most` bits. keys: sorted."""
+    n = len(keys)
+    label, me, end = np.arange(n), np.arange(n), np.searchsorted(keys, keys, "right")
+    size = end - np.searchsorted(keys, keys, "left")
+    few = size <= BUCKET
+    for x, y in _pairs(me[few], me[few] + 1, end[few]):
+        near = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words.T) <= most
+        _merge(label, x[near], y[near])
+    at = 0 if few.all() else int(np.argmin(few))
+    while at < n:
+        if few[at]:
+            at = int(end[at])
+            continue
+        rest, at = np.arange(at, end[at]), int(end[at])
+        while len(rest) > 1:  # from each row found, those not yet found are looked at
+            seed, found, rest = rest[0], [rest[0]], rest[1:]
+            while found and len(rest):
+                near = np.bitwise_count(words[rest] ^ words[found.pop()]).sum(axis=1, dtype=np.int64) <= most
+                if near.any():
+                    label[rest[near]] = seed
+                    found += rest[near].tolist()
+                    rest = rest[~near]
+    return label
+
+
 def ring_links(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, most_more: int) -> np.ndarray:
     """Positions' labels after all links among rows that share a chain's first segment.
 
@@ -262,18 +310,7 @@ def ring_links(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, most_more: i
     me = np.arange(n)
 
     def look(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        size = hi - lo
-        keep = size > 0
-        a, lo, size = a[keep], lo[keep], size[keep]
-        upto = np.cumsum(size)
-        at = 0
-        while at < len(a):
-            base = upto[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(upto, base + PAIRS, "right")))
-            x = np.repeat(a[at:to], size[at:to])
-            off = np.arange(len(x)) - np.repeat(upto[at:to] - size[at:to] - base, size[at:to])
-            y = np.repeat(lo[at:to], size[at:to]) + off
-            at = to
+        for x, y in _pairs(a, lo, hi):
             diff = fps[x] ^ fps[y]
             ok = np.ones(len(x), bool)
             for l, masks in chain.items():
@@ -293,6 +330,47 @@ def ring_links(keys: np.ndarray, fps: np.ndarray, more: np.ndarray, most_more: i
     return label
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Table]:
+    """Batches sorted by their first column gathered to about ROWS rows, so that all rows that share it but for its lowest `bits` bits come together."""
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        kept.append(b)
+        n += b.num_rows
+        if n >= ROWS:
+            t = pa.Table.from_batches(kept)
+            group = t.column(0).to_numpy() >> bits
+            cut = int(np.searchsorted(group, group[-1], "left"))  # the last group may go on
+            if cut:
+                yield t.slice(0, cut)
+                kept, n = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+def proposed(prints: DataFrame, sketch: Sketch, lo: int, hi: int) -> DataFrame:
+    """(b, id): groups, of two ids or more, of the ids that a segment of the fingerprints' words lo to before hi proposes as pairs, one with another or through others
+    that have the same segment. prints: (id, fp), distinct ids."""
+    per = 64 // SEGMENT
+    check = [F.col("fp")[i].alias(f"c{i}") for i in range(sketch.check)]
+    dealt = prints.select("id", *check, F.posexplode(F.slice("fp", lo + 1, hi - lo)).alias("word", "w"))
+    cut = lambda i: F.shiftrightunsigned("w", SEGMENT * i).bitwiseAND((1 << SEGMENT) - 1).cast("int")
+    keys = F.array(*[F.shiftleft(F.col("word") * per + i, SEGMENT) + cut(i) for i in range(per)])
+    dealt = dealt.select(F.explode(keys).alias("key"), "id", *[f"c{i}" for i in range(sketch.check)]).repartition("key").sortWithinPartitions("key")
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        key, ids, *words = (c.to_numpy() for c in t.columns)
+        label = segment_links(key, np.stack(words, axis=1).view(np.uint64), sketch.most)
+        some = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        group = mixed(ids[label[some]].view(np.uint64) ^ mixed(key[some].astype(np.uint64), 1)[:, 0], 1)[:, 0]
+        return pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(ids[some])], ["b", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (found(t) for t in _whole_groups(batches, 0))
+
+    return dealt.mapInArrow(run, "b long, id long")
+
+
 def links(nodes: DataFrame, lanes: int = 1, most_more: int = 0) -> DataFrame:
     """Edges (u, v) between node ids that join exactly the components of all links.
 
@@ -323,20 +401,7 @@ def links(nodes: DataFrame, lanes: int = 1, most_more: int = 0) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(ids[label[other]])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        n = 0
-        for b in batches:
-            kept.append(b)
-            n += b.num_rows
-            if n >= ROWS:
-                t = pa.Table.from_batches(kept)
-                group = t.column("k").to_numpy() >> 13
-                cut = int(np.searchsorted(group, group[-1], "left"))  # the last group may go on
-                if cut:
-                    yield found(t.slice(0, cut))
-                    kept, n = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
-        if n:
-            yield found(pa.Table.from_batches(kept))
+        return (found(t) for t in _whole_groups(batches, 13))
 
     return dealt.mapInArrow(run, "u long, v long")
 

@@ -209,3 +209,51 @@ def test_heavy_rows_make_more_blocks(spark):
     tasks = {p: {r.id for r in got if r.pair == p} for p in {r.pair for r in got}}
     assert len(tasks) == 6 and max(map(len, tasks.values())) < 40  # four blocks, two at a time
     assert all(any({a, b} <= t for t in tasks.values()) for a in range(40) for b in range(a))
+
+
+def test_long_fingerprint_is_a_majority():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 64, 65, 300, 1000):
+        shingles = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        fp = S.long_fingerprint(shingles, S.Sketch())
+        assert len(fp) == (64 if n <= 64 else 32)
+        lanes = S.mixed(shingles, len(fp))
+        for lane in (0, 1, len(fp) - 1):
+            hashes = [int(h) for h in lanes[:, lane]] + ([int(lanes[0, lane])] if n % 2 == 0 else [])
+            assert int(fp[lane]) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    assert not len(S.long_fingerprint(np.zeros(0, np.uint64), S.Sketch()))
+
+
+def test_segments_propose_what_brute_force_does(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (20, 32), dtype=np.uint64)
+    fps = base[rng.integers(0, 20, 150)]
+    for f in fps:
+        for b in rng.choice(2048, rng.integers(0, 700), replace=False):
+            f[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fps[:40, 3] = np.uint64(0x1234_0000_0000_0000)  # a segment that is common to unlike rows
+    parts = fps.view(np.uint16)
+    want = np.arange(150)
+    pairs = [(i, j) for i in range(150) for j in range(i) if np.bitwise_count(fps[i, :3] ^ fps[j, :3]).sum() <= 60 and (parts[i] == parts[j]).any()]
+    assert len(pairs) > 100
+    S._merge(want, *(np.array(x) for x in zip(*pairs)))
+    prints = spark.createDataFrame([(i, [S.signed(int(w)) for w in f]) for i, f in enumerate(fps)], "id long, fp array<long>")
+    for limit in (S.BUCKET, 3):
+        monkeypatch.setattr(S, "BUCKET", limit)
+        got, groups = np.arange(150), {}
+        for lo, hi in ((0, 4), (4, 64)):
+            for r in S.proposed(prints, S.Sketch(), lo, hi).collect():
+                groups.setdefault(r.b, []).append(r.id)
+        assert min(map(len, groups.values())) > 1
+        for g in groups.values():
+            S._merge(got, np.array(g[1:]), np.full(len(g) - 1, g[0]))
+        assert (got == want).all()
+
+
+def test_fingerprints_alone_propose(spark):
+    """No pair comes by another way than the fingerprints: where these may not differ in even -1 bits, all rows but copies stay."""
+    words = [f"t{i}" for i in range(100)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:95])), (2, " ".join(words)), (3, " ".join(words[:-1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in S.deduplicated(df).collect()} == {0}
+    assert {r.doc_id for r in S.deduplicated(df, S.Sketch(most=-1)).collect()} == {0, 1, 3}
