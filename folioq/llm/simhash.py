@@ -37,6 +37,8 @@ CHUNK = 1 << 16
 CROWD, SETS = 1 << 16, 512
 #: A set of more shingles than these counts as several.
 SHINGLES = 1 << 12
+#: Blocks of SETS sets in which all that overlapping groups propose is compared at most; beyond that it goes group by group.
+WHOLE = 16
 #: Candidate pairs looked at together, and rows gathered before whole segment groups are searched.
 PAIRS, ROWS = 1 << 21, 1 << 17
 #: Of the pipeline's long fingerprints: bits of a segment, and rows of one segment's value that are compared pair by pair; more are searched from row to row.
@@ -214,31 +216,62 @@ def shingle_links(members: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFr
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _rooted(df: DataFrame, roots: DataFrame | None, column: str, root: str) -> DataFrame:
+    """`df` with `root`: what `roots` (node, root) has for `column`, otherwise the same as `column`."""
+    if roots is None:
+        return df.withColumn(root, F.col(column))
+    known = broadcast_if_small(roots.select(F.col("node").alias(column), F.col("root").alias("__root")))
+    return df.join(known, column, "left").withColumn(root, F.coalesce("__root", column)).drop("__root")
+
+
+def proposal_components(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(id, rows, part) of the ids that are proposed with unlike ones, those that `roots` (node, root) has not joined: in how many groups an id is, and the component
+    of all groups that overlap, or whose ids are joined. members: (b, id, lead)."""
+    pairs = _rooted(_rooted(members.where("id <> lead").select("id", "lead").distinct(), roots, "id", "u"), roots, "lead", "v")
+    parts = materialize(components(pairs.where("u <> v").select("u", "v")))
+    parts = broadcast_if_small(parts.select(F.col("node").alias("__u"), F.col("root").alias("part")))
+    ids = _rooted(members.groupBy("id").agg(F.count(F.lit(1)).alias("rows")), roots, "id", "u")
+    return materialize(ids.join(parts, F.col("u") == F.col("__u")).select("id", "rows", "part"))
+
+
+def looked_at(members: DataFrame, wholes: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(b, id): the groups whose pairs are to be compared. A component of `wholes` (id, rows, part) is one group, which has all pairs of the groups of `members`
+    (b, id, lead) in it, and more. Where it would take over WHOLE blocks, or more rows than its groups have, these stay as they are: those that bring unlike
+    components together, and of groups of the same members one. sets: (id, n, shingles)."""
+    sized = wholes.join(broadcast_if_small(sets.select("id", "n")), "id")
+    blocks = F.ceil(F.sum(F.greatest(F.lit(1.0), F.col("n") / SHINGLES)) / SETS)
+    sums = sized.groupBy("part").agg(F.count(F.lit(1)).alias("ids"), F.sum("rows").alias("rows"), blocks.alias("blocks"))
+    large = materialize(sums.where((F.col("blocks") > WHOLE) | (F.col("ids") * F.col("blocks") > F.col("rows"))).select("part"))
+    if large.isEmpty():
+        return wholes.select(F.col("part").alias("b"), "id")
+    one = wholes.join(broadcast_if_small(large), "part", "left_anti").select(F.col("part").alias("b"), "id")
+    rest = members.join(broadcast_if_small(materialize(wholes.join(broadcast_if_small(large), "part", "left_semi").select("id"))), "id", "left_semi")
+    rest = materialize(_rooted(rest.select("b", "id"), roots, "id", "root"))
+    who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    groups = rest.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), *who).where("lo <> hi")
+    unlike = materialize(groups.groupBy("n", "x1", "x2").agg(F.min("b").alias("b")).select("b"))
+    return materialize(one.unionByName(rest.join(broadcast_if_small(unlike), "b", "left_semi").select("b", "id")))
+
+
 def shingle_components(slim: DataFrame, keyed: DataFrame, sketch: Sketch) -> DataFrame:
     """(node, root) of the components of all pairs of ids that their fingerprints propose and that are alike. slim: (k, z, id, fp), keyed: (k, z, text).
 
-    Segments are looked at in two rounds. A group that the first round has joined has nothing to add, so the second
-    looks only at groups that bring unlike components together; and groups of the same members are looked at once.
-    Shingles are made anew from the texts, but only of one text for each id that is in a group.
+    Segments are looked at in two rounds. What the first round has joined has nothing to add, so the second looks only at what brings unlike components
+    together. The groups that overlap are looked at as one, in which an id comes once and not once for each of its segments, unless that one is too large.
+    Shingles are made anew from the texts, but only of one text for each id that is looked at.
     """
     prints = materialize(slim.groupBy("id").agg(F.first("fp").alias("fp")))
     reps = materialize(slim.groupBy("id").agg(F.min(F.struct("z", "k")).alias("rep")))
     edges, roots = [], None
     for words in ((0, sketch.first), (sketch.first, max(sketch.words, sketch.more))):
         members = materialize(proposed(prints, sketch, *words))
-        if roots is not None:
-            part = members.join(broadcast_if_small(roots), members.id == roots.node, "left").select("id", "b", F.coalesce("root", "id").alias("root"))
-            shared = part.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
-            members = materialize(members.join(broadcast_if_small(materialize(shared)), "b"))
-        who = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-        unlike = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *who).groupBy("n", "x1", "x2").agg(F.min("b").alias("b")).select("b")
-        members = materialize(members.join(broadcast_if_small(materialize(unlike)), "b"))
-        wanted = materialize(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "rep.k", "rep.z"))
+        wholes = proposal_components(members, roots)
+        wanted = materialize(reps.join(wholes.select("id"), "id", "left_semi").select("id", "rep.k", "rep.z"))
         texts = keyed.join(broadcast_if_small(wanted.select("k", "z").distinct()), ["k", "z"], "left_semi")
         sets = shingle_sets(texts, sketch).join(broadcast_if_small(wanted.select("id")), "id", "left_semi")
         sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
         sets = materialize_texts(sets.select("id", F.size("shingles").alias("n"), "shingles"))
-        edges.append(materialize_texts(shingle_links(members, sets, sketch)))
+        edges.append(materialize_texts(shingle_links(looked_at(members, wholes, sets, roots), sets, sketch)))
         roots = materialize(components(edges[0] if len(edges) == 1 else edges[0].unionAll(edges[1])))
     return roots
 
@@ -349,26 +382,27 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.T
 
 
 def proposed(prints: DataFrame, sketch: Sketch, lo: int, hi: int) -> DataFrame:
-    """(b, id): groups, of two ids or more, of the ids that a segment of the fingerprints' words lo to before hi proposes as pairs, one with another or through others
-    that have the same segment. prints: (id, fp), distinct ids."""
+    """(b, id, lead): groups, of two ids or more, of the ids that a segment of the fingerprints' words lo to before hi proposes as pairs, one with another or through others
+    that have the same segment; lead is the least id of the group. prints: (id, fp), distinct ids."""
     per = 64 // SEGMENT
     check = [F.col("fp")[i].alias(f"c{i}") for i in range(sketch.check)]
     dealt = prints.select("id", *check, F.posexplode(F.slice("fp", lo + 1, hi - lo)).alias("word", "w"))
     cut = lambda i: F.shiftrightunsigned("w", SEGMENT * i).bitwiseAND((1 << SEGMENT) - 1).cast("int")
     keys = F.array(*[F.shiftleft(F.col("word") * per + i, SEGMENT) + cut(i) for i in range(per)])
-    dealt = dealt.select(F.explode(keys).alias("key"), "id", *[f"c{i}" for i in range(sketch.check)]).repartition("key").sortWithinPartitions("key")
+    dealt = dealt.select(F.explode(keys).alias("key"), "id", *[f"c{i}" for i in range(sketch.check)]).repartition("key").sortWithinPartitions("key", "id")
 
     def found(t: pa.Table) -> pa.RecordBatch:
         key, ids, *words = (c.to_numpy() for c in t.columns)
         label = segment_links(key, np.stack(words, axis=1).view(np.uint64), sketch.most)
         some = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
-        group = mixed(ids[label[some]].view(np.uint64) ^ mixed(key[some].astype(np.uint64), 1)[:, 0], 1)[:, 0]
-        return pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(ids[some])], ["b", "id"])
+        lead = ids[label[some]]
+        group = mixed(lead.view(np.uint64) ^ mixed(key[some].astype(np.uint64), 1)[:, 0], 1)[:, 0]
+        return pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(ids[some]), pa.array(lead)], ["b", "id", "lead"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (found(t) for t in _whole_groups(batches, 0))
 
-    return dealt.mapInArrow(run, "b long, id long")
+    return dealt.mapInArrow(run, "b long, id long, lead long")
 
 
 def links(nodes: DataFrame, lanes: int = 1, most_more: int = 0) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -266,3 +267,32 @@ def test_small_sets_are_proposed():
         six = np.unique(rng.integers(0, 2**63, 6, dtype=np.uint64))
         x, y = S.long_fingerprint(six, S.Sketch()), S.long_fingerprint(six[1:], S.Sketch())
         assert (x.view(np.uint16) == y.view(np.uint16)).any() and np.bitwise_count(x[:3] ^ y[:3]).sum() <= S.Sketch().most
+
+
+def test_overlapping_groups_are_looked_at_once(spark, monkeypatch):
+    """A crowd that meets in many segments: an id is compared in one group, not in one for each segment; and where that group is too large, the links are the same."""
+    rng = random.Random(11)
+    base = [f"t{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        mine = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 1, 4])):
+            mine[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(mine))
+    want = np.arange(60)
+    near = [(i, j) for i in range(60) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    S._merge(want, *(np.array(x) for x in zip(*near)))
+    assert len(set(want)) > 5 and np.bincount(want).max() > 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, links = [], S.shingle_links
+
+    def spy(members, sets, sketch):
+        seen.append(Counter(r.id for r in members.collect()))
+        return links(members, sets, sketch)
+
+    monkeypatch.setattr(S, "shingle_links", spy)
+    for whole in (S.WHOLE, 0):
+        monkeypatch.setattr(S, "WHOLE", whole)
+        seen.clear()
+        assert {r.doc_id: r.component_id for r in S.near_groups(df).collect()} == dict(enumerate(want.tolist()))
+        assert len(seen) == 2 and (max(max(x.values(), default=0) for x in seen) == 1) == (whole > 0)
