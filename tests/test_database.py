@@ -170,6 +170,56 @@ def test_every_reference_name_is_looked_up(spark):
     assert [(r.id, r.r["name"]) for r in out.where("r.name IS NOT NULL").collect()] == [(1234, "x")]
 
 
+def test_crowds_of_references_are_dealt(spark, monkeypatch):
+    """An id that most references name, found or not, does not bring their rows into one partition."""
+    from importlib import import_module
+
+    from pyspark.sql import functions as F
+
+    m = import_module("folioq.operators.include")
+    monkeypatch.setattr(m, "CROWD", 500, raising=False)
+    target = spark.range(100).selectExpr("cast(id AS int) AS _id", "concat('n', id) AS name")
+    ids = {"dangling": "-1L", "found": "7L", "null": "NULL", "mixed": "IF(id % 4 = 0, id % 200, IF(id % 4 = 1, 7L, -1L))"}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for case, wanted in ids.items():
+            for given in (None, ["c"]):
+                df = spark.range(20000).selectExpr("id AS _id", f"named_struct('$id', cast({wanted} AS long), '$ref', IF(id % 10 = 9, 'nowhere', 'C')) AS r", f"cast({wanted} AS long) AS w")
+                out = m.include(df, "r", lambda n: target if n.lower() == "c" else None, given)
+                rows = out.select("_id", "w", "r.*", F.spark_partition_id().alias("p")).collect()
+                assert sorted(r._id for r in rows) == list(range(20000))
+                for r in rows:
+                    hit, here = r.w is not None and 0 <= r.w < 100, r._id % 10 != 9
+                    assert (r["$id"], r.name) == (r.w, f"n{r.w}" if hit and here else None)
+                    assert (r["$ref"], r["$missing"]) == (("nowhere", None) if not here else (None, None) if hit else ("C", True))
+                sizes = [sum(r.p == p for r in rows) for p in {r.p for r in rows}]
+                assert len(sizes) == 8 and max(sizes) < 6000, (case, given, sizes)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_crowds_in_arrays(spark, monkeypatch):
+    """Items keep their places and rows their number, also where all rows name one id, and the target's ids have another type."""
+    from importlib import import_module
+
+    m = import_module("folioq.operators.include")
+    monkeypatch.setattr(m, "CROWD", 50, raising=False)
+    target = spark.createDataFrame([("1", "one"), ("2", "two")], "_id string, name string")
+    item = lambda i, c: f"named_struct('$id', cast({i} AS long), '$ref', '{c}')"
+    df = spark.range(1000).selectExpr("id AS _id", f"CASE WHEN id % 5 > 0 THEN array({item('-1', 'a')}, {item('1', 'a')}, {item('id % 3', 'b')}, NULL, {item('-1', 'a')}) WHEN id % 2 = 0 THEN array() END AS r")
+    rows = m.include(df, "r", lambda n: target).collect()
+    assert sorted(r._id for r in rows) == list(range(1000))
+    for r in rows:
+        if r._id % 5 == 0:
+            assert r.r == ([] if r._id % 2 == 0 else None)
+        else:
+            assert [x and x.name for x in r.r] == [None, "one", {0: None, 1: "one", 2: "two"}[r._id % 3], None, None]
+            assert [x and x["$missing"] for x in r.r] == [True, None, r._id % 3 == 0 or None, None, True]
+
+
 def test_one_writer_wins(db):
     """Of several who commit on one version one succeeds, also after checkpoints."""
     db.execute("INSERT INTO t VALUES {_id: 1}")
